@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, token_counts, warc
+from tessera.llm import fingerprints, mixing, token_counts, toxicity, warc
 
-MODULES = (warc, token_counts, mixing)
+MODULES = (warc, toxicity, fingerprints, token_counts, mixing)
 
 
 def queries() -> dict:
