@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, mixing, token_counts, toxicity, warc
+from tessera.llm import decontaminate, fingerprints, mixing, simhash, substrings, token_counts, toxicity, warc
 
-MODULES = (warc, toxicity, fingerprints, token_counts, mixing)
+MODULES = (warc, toxicity, simhash, fingerprints, decontaminate, token_counts, substrings, mixing)
 
 
 def queries() -> dict:
