@@ -18,88 +18,90 @@ from tessera.llm import common
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
 BROADCAST_ROWS = 1_000_000
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN), lambda x: x != "")
+    text = F.coalesce(text, F.lit(""))
+    return F.filter(F.split(F.translate(text, _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN)), " "), lambda x: x != "")  # one plain character splits faster than a pattern
 
 
 def _runs(n: Column, width: int) -> Column:
-    """1 ... n - width + 1, or nothing."""
-    return F.when(n >= width, F.sequence(F.lit(1), n - (width - 1))).otherwise(F.array().cast("array<int>"))
+    """0 ... n - width, or nothing."""
+    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def grams(w: Column) -> Column:
-    return F.transform(_runs(F.size(w), GRAM), lambda i: F.xxhash64(F.slice(w, i, GRAM)))
+def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and g: hashes of GRAM words of the array w. Steps are columns of their own, so that none is worked out anew inside a lambda, and
+    elements are taken one by one: slices copy their whole array."""
+    h = rows.select(*keep, F.transform("w", lambda x: F.xxhash64(x)).alias("__e"))
+    return h.select(*keep, F.transform(_runs(F.size("__e"), GRAM), lambda i: F.xxhash64(*(F.get("__e", i + k) for k in range(GRAM)))).alias("g"))
 
 
-def winnowed(g: Column) -> Column:
-    """The distinct least hashes of SPAN consecutive ones."""
-    return F.array_distinct(F.transform(_runs(F.size(g), SPAN), lambda i: F.array_min(F.slice(g, i, SPAN))))
+def _winnowed() -> Column:
+    """The distinct least hashes of SPAN consecutive elements of g."""
+    return F.array_distinct(F.transform(_runs(F.size("g"), SPAN), lambda i: F.least(*(F.get("g", i + k) for k in range(SPAN)))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcasts a table that is counted to be small; a larger one is joined as the planner sees fit."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _windows(at: Column, n: int) -> Column:
+    """A row (i, window) for each place in the array `at`: the n words of w from there. Made before rows are, so that none carries w."""
+    return F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.concat_ws(" ", *(F.get("w", i + k) for k in range(n))).alias("window")))).alias("x")
 
 
-def _marks(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row (m) for each kept hash of the words w. The steps are columns of their own, so that none is worked out again inside a lambda."""
-    g = rows.select(*keep, grams(F.col("w")).alias("g"))
-    return g.select(*keep, F.explode(winnowed(F.col("g"))).alias("m"))
+def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Broadcasts a table that is counted to be small; a larger one is joined as the planner sees fit."""
+    n = df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, __h, n_hit, items) of the documents that hold a window of an item; __h is a hash of the text."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    items = common.materialize(items)
+    """(doc_id, __h, n_words, n_rows, n_hit, items) of every document, __h a hash of the text; n_rows rows of docs have both."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
+    items = common.materialize(items).where(F.size("w") > 0)
     long_ = items.where(F.size("w") >= WINDOW)
-    marks = _small(common.materialize(_marks(long_, []).distinct()))
-    at = F.explode(_runs(F.size("w"), WINDOW)).alias("i")
-    windows = long_.select("item_id", "w", at).select("item_id", F.array_join(F.slice("w", F.col("i"), WINDOW), " ").alias("window")).distinct()
+    none = F.lit(0).cast("bigint")  # what every document has as a mark, so that all have a row
+    marks = _grams(long_, []).select(F.explode(_winnowed()).alias("m")).where(F.col("m") != none)
+    marks = _small(common.materialize(marks.union(items.sparkSession.range(1).select(none)).distinct()))
+    windows = long_.select("item_id", _windows(_runs(F.size("w"), WINDOW), WINDOW)).select("item_id", "x.window").distinct()
     windows = _small(common.materialize(windows))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("__h"), words(F.col("text")).alias("w"))
     key = ["doc_id", "__h"]
-    hits = _marks(rows.where(F.size("w") >= WINDOW), key).join(marks, "m").groupBy(*key).agg(F.collect_set("m").alias("marks"))
-    hits = common.materialize(hits.toDF("__d", "__k", "marks"))
-    near = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k"))).select(*key, "w", "marks")
-    found = F.transform(grams(F.col("w")), lambda g, i: F.when(F.array_contains("marks", g), i + 1))
-    near = near.select(*key, "w", F.filter(found, lambda i: i.isNotNull()).alias("p"))
-    starts = F.array_distinct(F.flatten(F.transform("p", lambda p: F.sequence(F.greatest(F.lit(1), p - (SPAN - 1)), F.least(p, F.size("w") - (WINDOW - 1))))))
-    near = near.where(F.size("p") > 0).select(*key, "w", F.explode(starts).alias("i"))
-    near = near.select(*key, F.struct("i", F.lit(WINDOW).alias("n")).alias("at"), F.array_join(F.slice("w", F.col("i"), WINDOW), " ").alias("window"))
-    near = near.join(windows, "window").select(*key, "at", "item_id")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("__h"), "text")
+    rows = texts.select(*key, words(F.col("text")).alias("w"))
+    each = _grams(rows.withColumn("n_words", F.size("w")), [*key, "n_words"])
+    each = each.select(*key, "n_words", F.explode(F.concat(F.array(none), _winnowed())).alias("m")).join(marks, "m")
+    own = F.col("m") == none
+    hits = each.groupBy(*key).agg(F.max("n_words").cast("bigint").alias("n_words"), F.count_if(own).alias("n_rows"), F.collect_set(F.when(~own, F.col("m"))).alias("marks"))
+    hits = common.materialize(hits)
+    near = hits.where(F.size("marks") > 0).select(F.col("doc_id").alias("__d"), F.col("__h").alias("__k"), "marks")
+    near = texts.join(_small(near, F.size("marks") + 2), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")))
+    near = near.select(*key, "marks", words(F.col("text")).alias("w"))
+    near = _grams(near, [*key, "marks", "w"])
+    near = near.select(*key, "w", F.filter(F.transform("g", lambda g, i: F.when(F.array_contains("marks", g), i)), lambda i: i.isNotNull()).alias("p"))
+    starts = F.array_distinct(F.flatten(F.transform("p", lambda p: F.sequence(F.greatest(F.lit(0), p - (SPAN - 1)), F.least(p, F.size("w") - WINDOW)))))
+    near = near.select(*key, "w", starts.alias("s")).select(*key, _windows(F.col("s"), WINDOW))
+    near = near.select(*key, F.struct("x.i", F.lit(WINDOW).alias("n")).alias("at"), "x.window").join(windows, "window").select(*key, "at", "item_id")
     for n in sorted(r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect()):  # WINDOW - 1 lengths at most
         short = _small(items.where(F.size("w") == n).select("item_id", F.array_join("w", " ").alias("window")).distinct())
-        each = rows.select(*key, "w", F.explode(_runs(F.size("w"), n)).alias("i")).select(*key, F.struct("i", F.lit(n).alias("n")).alias("at"), F.array_join(F.slice("w", F.col("i"), n), " ").alias("window"))
-        near = near.union(each.join(short, "window").select(*key, "at", "item_id"))
+        place = rows.select(*key, _windows(_runs(F.size("w"), n), n)).select(*key, F.struct("x.i", F.lit(n).alias("n")).alias("at"), "x.window")
+        near = near.union(place.join(short, "window").select(*key, "at", "item_id"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1))))
     near = near.groupBy(*key).agg(F.collect_set("at").alias("at"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    return near.select(*key, F.size(covered).cast("bigint").alias("n_hit"), "items")
-
-
-def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    found = found.withColumnsRenamed({"doc_id": "__d", "__h": "__k"})
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), how)
+    near = near.select(F.col("doc_id").alias("__d"), F.col("__h").alias("__k"), F.size(covered).cast("bigint").alias("n_hit"), "items")
+    found = hits.join(near, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k")), "left")
+    return found.select(*key, "n_words", "n_rows", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = common.materialize(contamination(docs, common.read(spark, sf_dir, "benchmark")))
-    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("__x"), count.alias("n_words"))
-    found = found.withColumnsRenamed({"doc_id": "__d", "__h": "__k"})
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__k")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    found = contamination(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    found = found.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_rows")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, that hold no window of an item."""
-    return _joined(docs, common.materialize(contamination(docs, benchmark).select("doc_id", "__h")), "left_anti")
+    found = common.materialize(contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("__h").alias("__k")))
+    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left_anti")
 
 
 def sql(docs: str = "documents") -> str:
