@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, fingerprints, lines, mixing, simhash, substrings, token_counts, toxicity, warc
+from tessera.llm import decontaminate, fingerprints, lines, mixing, simhash, substrings, token_counts, tool_calls, toxicity, warc
 
-MODULES = (warc, toxicity, simhash, fingerprints, decontaminate, lines, token_counts, substrings, mixing)
+MODULES = (warc, tool_calls, toxicity, simhash, fingerprints, decontaminate, lines, token_counts, substrings, mixing)
 
 
 def queries() -> dict:
