@@ -42,9 +42,12 @@ def materialize(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark's context cleaner drop the shuffle files of steps that are materialized, before the next step adds its own."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold more; the cleaner works beside
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -65,6 +65,28 @@ def _with_uid(docs: DataFrame) -> DataFrame:
     return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k"))).select("uid", "doc_id", "text")
 
 
+def _salts(key: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Spreads what a range of rows repeats by itself: for each key, the first place stands for the range, with salt 0, or -1 if the key has other places here;
+    those get salts above 0 of their own. So a key has a row for each range under its own hash, however often it occurs."""
+    order = np.lexsort((pos, uid, key))
+    k, u, p = key[order], uid[order], pos[order]
+    first = np.append(True, k[1:] != k[:-1])
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+    other = (u != u[head]) | (p != p[head])
+    several = np.zeros(len(k), bool)
+    several[head[other]] = True
+    own = (common.mix(u.astype(np.uint64) * np.uint64(_C) + p.astype(np.uint64)) >> np.uint64(34)).astype(np.int32) + 1
+    salt = np.where(other, own, np.where(several[head], -1, 0)).astype(np.int32)
+    out = np.empty_like(salt)
+    out[order] = salt
+    return out
+
+
+def _rows(key: np.ndarray, uid: np.ndarray, pos: np.ndarray, name: str) -> pa.RecordBatch:
+    pos = pos.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), pa.array(pos), pa.array(_salts(key, uid, pos))], names=[name, "uid", "pos", "salt"])
+
+
 def _runs(batches):
     for batch in batches:
         data, offsets = common.utf8(batch.column(1))
@@ -74,7 +96,7 @@ def _runs(batches):
             at = x.pick[np.flatnonzero(np.diff(x.pick, prepend=-1))]
             row = x.row(at)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(x.run[at].view(np.int64)), pa.array(uid[a + row]), pa.array((at - x.first[row]).astype(np.int32))], names=["run", "uid", "pos"])
+                yield _rows(x.run[at], uid[a + row], at - x.first[row], "run")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +118,7 @@ def _windows(batches):
             at = x.windows[on]
             row = x.row(at)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(x.hash[on].view(np.int64)), pa.array(uid[a + row]), pa.array((at - x.first[row]).astype(np.int32))], names=["window", "uid", "pos"])
+                yield _rows(x.hash[on], uid[a + row], at - x.first[row], "window")
 
 
 def _cut(batches):
@@ -125,13 +147,14 @@ def _cut(batches):
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """rows: (uid, text). (uid, pos): the starts of the windows whose words also start earlier."""
     spark = rows.sparkSession
-    runs = rows.select("uid", "text").mapInArrow(_runs, "run bigint, uid bigint, pos int")
-    runs = runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run"))).where("n > 1")
+    own = F.greatest("salt", F.lit(0))
+    runs = rows.select("uid", "text").mapInArrow(_runs, "run bigint, uid bigint, pos int, salt int")
+    runs = runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run", own))).where("n > 1 or salt <> 0")
     alive = common.materialize(runs.groupBy("uid").agg(F.collect_set("pos").alias("pos")).withColumnRenamed("uid", "__u"))
     common.release(spark)
-    windows = rows.select("uid", "text").join(alive, F.col("uid") == F.col("__u")).select("uid", "text", "pos").mapInArrow(_windows, "window bigint, uid bigint, pos int")
-    order = Window.partitionBy("window").orderBy("uid", "pos")
-    windows = windows.withColumns({"u": F.first("uid").over(order), "p": F.first("pos").over(order)}).where("uid > u or pos > p")
+    windows = rows.select("uid", "text").join(alive, F.col("uid") == F.col("__u")).select("uid", "text", "pos").mapInArrow(_windows, "window bigint, uid bigint, pos int, salt int")
+    order = Window.partitionBy("window", own).orderBy("uid", "pos")
+    windows = windows.withColumns({"u": F.first("uid").over(order), "p": F.first("pos").over(order)}).where("salt > 0 or uid > u or pos > p")
     repeats = common.materialize(windows.groupBy("uid").agg(F.collect_set("pos").alias("pos")).withColumnRenamed("uid", "__u"))
     common.release(spark)
     return repeats
