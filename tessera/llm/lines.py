@@ -157,7 +157,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _rest(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """buckets: (band, id, root). Links between lines of a bucket and different roots, found pair by pair."""
+    """buckets: (band, id, root), without each bucket's least line, which all others were compared with. Links between lines of a bucket and different roots, found pair by pair."""
     sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     part = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = buckets.join(sizes.select(F.col("band").alias("__b"), part.alias("parts")), F.col("band") == F.col("__b"))
@@ -205,7 +205,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     common.release(spark)
     good = common.materialize(_verify(keyed.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), texts))
     linked = common.components(good)
-    buckets = keyed.join(linked, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    buckets = keyed.where("id <> rep").join(linked, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     more = common.materialize(_rest(buckets, texts))
     if not more.isEmpty():
         linked = common.components(good.union(more))
