@@ -1,0 +1,34 @@
+"""Scan for phrases that try to instruct a reader of the text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Families of phrases, with the severity of a finding.
+PATTERNS = (
+    ("override", "high", r"(?i)\b(ignore|disregard|forget)\s+(all\s+|any\s+)?(the\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules)"),
+    ("role_change", "medium", r"(?i)\byou\s+are\s+now\s+(a|an|the|in)\b"),
+    ("prompt_leak", "high", r"(?i)\b(reveal|print|show|repeat)\s+(me\s+)?(your|the)\s+(system\s+)?prompt\b"),
+    ("exfiltration", "high", r"(?i)\b(send|post|upload)\s+[^.\n]{0,60}\bto\s+https?://"),
+    ("shell_mention", "low", r"(?i)\b(curl|wget)\s+https?://|\brm\s+-rf\b"),
+)
+#: Weights of severities, and scores from which the risk is high, medium, low.
+WEIGHTS = {"low": 1.0, "medium": 3.0, "high": 6.0}
+BANDS = (("high", 6.0), ("medium", 3.0), ("low", 1.0))
+
+
+def findings(text: Column) -> dict[str, Column]:
+    return {name: F.regexp_count(text, F.lit(pattern)) for name, _, pattern in PATTERNS}
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, score, risk, findings) of every document; one pass, no shuffle. Null text has no findings."""
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", *(n.alias(k) for k, n in findings(text).items()))
+    score = sum((F.col(name) * WEIGHTS[severity] for name, severity, _ in PATTERNS), F.lit(0.0))
+    risk = F.when(F.greatest(*(F.col(n) for n, s, _ in PATTERNS if s == "high")) > 0, F.lit("high"))
+    for band, least in BANDS:
+        risk = risk.when(F.col("score") >= least, F.lit(band))
+    total = sum((F.col(n) for n, _, _ in PATTERNS), F.lit(0)).cast("bigint")
+    return found.withColumn("score", score).select("doc_id", "score", risk.otherwise(F.lit("none")).alias("risk"), total.alias("findings"))
