@@ -220,7 +220,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
-    gone = repeated_lines(rows).groupBy("uid").agg(F.array_sort(F.collect_list("no")).alias("removed")).withColumnRenamed("uid", "__u")
+    gone = repeated_lines(rows).groupBy("uid").agg(F.array_sort(F.collect_set("no")).alias("removed")).withColumnRenamed("uid", "__u")
     return common.materialize(gone)
 
 
