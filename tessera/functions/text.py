@@ -35,7 +35,7 @@ def strip_control(text: Column | str) -> Column:
 def slugify(text: Column | str) -> Column:
     """Lower-case ASCII letters and digits joined by hyphens; Latin accents are folded."""
     folded = F.translate(F.lower(_as(text)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.lit("-"), F.regexp_replace(F.regexp_replace(folded, r"[^\x00-\x7F]", ""), r"[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^\x00-\x7F]", ""), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def escape_line_start(line: Column | str) -> Column:
