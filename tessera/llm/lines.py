@@ -12,6 +12,8 @@ follow each other in the order of their hashes: see `numbered`.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -165,28 +167,32 @@ def _rest(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", own).select("band", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root").join(texts, "id")
 
-    def run(key, table):
-        x, y = key[1].as_py(), key[2].as_py()
-        own, ids, roots = table["own"].to_pylist(), table["id"].to_pylist(), table["root"].to_pylist()
-        sets = [shingles(s) for s in table["line"].to_pylist()]
-        root = {r: r for r in roots}
-
-        def find(r):
-            while root[r] != r:
-                root[r] = root[root[r]]
-                r = root[r]
-            return r
-
+    def run(batches):
         u, v = [], []
-        for i in range(len(ids)):
-            for j in range(i):
-                if (x == y or own[i] != own[j]) and (a := find(roots[i])) != (b := find(roots[j])) and similar(sets[i], sets[j]):
-                    root[max(a, b)] = min(a, b)
-                    u.append(ids[i])
-                    v.append(ids[j])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return rows.groupBy("band", "x", "y").applyInArrow(run, "u bigint, v bigint")
+        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, x, y), part in groupby(flat, lambda row: row[:3]):  # a group may go on in the next batch
+            own, ids, roots, texts = zip(*(row[3:] for row in part), strict=True)
+            label = np.array(roots)
+            if (label == label[0]).all():
+                continue
+            own, sets = np.array(own), [shingles(s) for s in texts]
+            sizes = np.array([len(s) for s in sets])
+            for i in range(1, len(ids)):
+                near = (label[:i] != label[i]) & (np.minimum(sizes[:i], sizes[i]) >= SIMILAR * np.maximum(sizes[:i], sizes[i]))
+                if x != y:
+                    near &= own[:i] != own[i]
+                for j in np.flatnonzero(near):
+                    if label[j] != label[i] and similar(sets[i], sets[j]):
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+                        u.append(ids[i])
+                        v.append(ids[j])
+            if len(u) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                u, v = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    rows = rows.select("band", "x", "y", "own", "id", "root", "line").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return rows.mapInArrow(run, "u bigint, v bigint")
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
