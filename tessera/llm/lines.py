@@ -2,7 +2,8 @@
 
 Lines are compared in lower case (A-Z) with runs of ASCII white space as one space; lines of nothing but white space are left alone. A line's set is its
 8-character shingles (a shorter line is one shingle). One-permutation MinHash with densification gives 60 values in 12 bands of 5, which finds 99 % of pairs at
-a Jaccard similarity of 0.8 and more above; every pair that counts is verified on the exact sets. Each line of a bucket is first compared with the bucket's
+a Jaccard similarity of 0.8 and more above; every pair that counts is verified on the exact sets, which are made only for pairs that a bound on bit maps of
+their shingles leaves (see `apart`). Each line of a bucket is first compared with the bucket's
 least line, which joins groups of near copies without their pairs; buckets that still hold several components are then compared pair by pair, skipping
 what is joined, in blocks of bounded size. Components come from a distributed union-find, and the first line of each (least doc_id, then place) stays.
 
@@ -16,6 +17,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from tessera.llm.substrings import _with_uid
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 5
 #: Lines in a block of a bucket that is compared pair by pair.
 BLOCK = 500
+#: Bits of a line's map of shingles, a multiple of 64.
+MAP = 2048
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,9 +54,8 @@ def similar(a: set, b: set) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """A row of BANDS keys for each line (normalised, not empty)."""
-    bins = BANDS * ROWS
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each shingle, repeats included, and the number of its line."""
     lengths = np.array([len(x) for x in lines], np.int64)
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = common.mix(chars + np.uint64(1))
@@ -69,6 +72,35 @@ def bands(lines: list[str]) -> np.ndarray:
     if len(short):
         own = np.array([line_id(b"\0" + lines[i].encode("utf-8", "surrogatepass")) for i in short], np.uint64)
         h, owner = np.append(h, own), np.append(owner, short)
+    return h, owner
+
+
+def maps(lines: list[str]) -> np.ndarray:
+    """A row of MAP bits for each line (normalised, not empty), as 64-bit words: the bits that its shingles pick."""
+    h, owner = _hashed(lines)
+    table = np.zeros((len(lines), MAP), bool)
+    table[owner, ((h >> np.uint64(32)) % np.uint64(MAP)).astype(np.int64)] = True
+    return np.packbits(table, axis=1).view(np.uint64)
+
+
+def apart(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether maps a and b (rows of each, or one b) rule similar() out; n: at least the shingles of both together.
+
+    Each differing bit takes a shingle that only one line has, so at least d shingles are not shared; a similarity of s needs d <= n (1 - s) / (1 + s).
+    """
+    d = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return d * (1 + SIMILAR) > n * (1 - SIMILAR) + 1e-6 * n
+
+
+def count(line: str) -> int:
+    """At least the number of the line's different shingles."""
+    return max(1, len(line) - SHINGLE + 1)
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """A row of BANDS keys for each line (normalised, not empty)."""
+    bins = BANDS * ROWS
+    h, owner = _hashed(lines)
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     table = np.full(len(lines) * bins, none)
     place = (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64)
@@ -123,7 +155,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """places: (id, uid, no). (id, line) of each."""
+    """places: (id, uid, no). (id, line, map) of each."""
     wanted = places.groupBy("uid").agg(F.collect_list(F.struct("no", "id")).alias("at")).withColumnRenamed("uid", "__u")
 
     def run(batches):
@@ -134,9 +166,22 @@ def _texts(rows: DataFrame, places: DataFrame) -> DataFrame:
                 for x in at:
                     ids.append(x["id"])
                     lines.append(normal(own[x["no"]]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
+            for at in range(0, len(ids), 2000):
+                part = lines[at : at + 2000]
+                bits = [row.tobytes() for row in maps(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 2000], pa.int64()), pa.array(part, pa.string()), pa.array(bits, pa.binary())], names=["id", "line", "map"])
 
-    return rows.join(wanted, F.col("uid") == F.col("__u")).select("text", "at").mapInArrow(run, "id bigint, line string")
+    return rows.join(wanted, F.col("uid") == F.col("__u")).select("text", "at").mapInArrow(run, "id bigint, line string, map binary")
+
+
+def _words(bits) -> np.ndarray:
+    """Maps as rows of 64-bit words."""
+    return np.frombuffer(b"".join(bits.to_pylist() if isinstance(bits, pa.Array) else bits), np.uint64).reshape(-1, MAP // 64)
+
+
+def _counts(lines: pa.Array) -> np.ndarray:
+    """count() of each."""
+    return np.maximum(1, pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) - SHINGLE + 1)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -145,16 +190,19 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         last, own = None, set()
         for batch in batches:
-            u, v, x, y = (c.to_pylist() for c in batch.columns)
-            good = []
-            for i in range(len(u)):
+            u, v, x, y, p, q = batch.columns
+            if not len(u):
+                continue
+            n = np.add(_counts(x), _counts(y))
+            good = np.zeros(len(u), bool)
+            for i in np.flatnonzero(~apart(_words(p), _words(q), n)):
                 if v[i] != last:
-                    last, own = v[i], shingles(y[i])
-                good.append(similar(shingles(x[i]), own))
+                    last, own = v[i], shingles(y[i].as_py())
+                good[i] = similar(shingles(x[i].as_py()), own)
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
 
-    joined = pairs.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    joined = pairs.join(texts.toDF("u", "x", "p"), "u").join(texts.toDF("v", "y", "q"), "v").select("u", "v", "x", "y", "p", "q")
     return joined.mapInArrow(run, "u bigint, v bigint")
 
 
@@ -171,18 +219,24 @@ def _rest(buckets: DataFrame, texts: DataFrame) -> DataFrame:
         u, v = [], []
         flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for (_, x, y), part in groupby(flat, lambda row: row[:3]):  # a group may go on in the next batch
-            own, ids, roots, texts = zip(*(row[3:] for row in part), strict=True)
+            own, ids, roots, texts, bits = zip(*(row[3:] for row in part), strict=True)
             label = np.array(roots)
             if (label == label[0]).all():
                 continue
-            own, sets = np.array(own), [shingles(s) for s in texts]
-            sizes = np.array([len(s) for s in sets])
+            own, bits, n = np.array(own), _words(bits), np.array([count(t) for t in texts])
+            sets: dict[int, set] = {}  # of the lines that a pair needs
             for i in range(1, len(ids)):
-                near = (label[:i] != label[i]) & (np.minimum(sizes[:i], sizes[i]) >= SIMILAR * np.maximum(sizes[:i], sizes[i]))
+                near = label[:i] != label[i]
                 if x != y:
                     near &= own[:i] != own[i]
-                for j in np.flatnonzero(near):
-                    if label[j] != label[i] and similar(sets[i], sets[j]):
+                near = np.flatnonzero(near)
+                for j in near[~apart(bits[near], bits[i], n[near] + n[i])]:
+                    if label[j] == label[i]:
+                        continue
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = shingles(texts[k])
+                    if similar(sets[i], sets[j]):
                         label[label == max(label[i], label[j])] = min(label[i], label[j])
                         u.append(ids[i])
                         v.append(ids[j])
@@ -191,7 +245,7 @@ def _rest(buckets: DataFrame, texts: DataFrame) -> DataFrame:
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    rows = rows.select("band", "x", "y", "own", "id", "root", "line").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    rows = rows.select("band", "x", "y", "own", "id", "root", "line", "map").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 

@@ -1,9 +1,11 @@
 """Nulls, empty and repeated rows, empty tables and clashing extra columns, against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tessera.llm import decontaminate, fingerprints, lines, mixing, simhash, substrings, token_counts, tool_calls, toxicity, warc
@@ -106,6 +108,23 @@ def test_lines(docs, none):
     assert lines.removed_lines(none).count() == 0
 
 
+def test_line_bound():
+    """The bound on bit maps never rules out a pair that is similar, and does rule out others."""
+    r = random.Random(5)
+    pairs = [("a", "a"), ("a", "b"), ("aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaa")]
+    for n in [9, 20, 60, 200, 500, 4000] * 40:
+        x = "".join(r.choice("abcdefgh é") for _ in range(n)).strip() or "x"
+        y = list(x)
+        for _ in range(r.randrange(max(2, n // 40))):
+            y[r.randrange(len(y))] = r.choice("xyz")
+        pairs.append((x, "".join(y)))
+    x, y = zip(*pairs, strict=True)
+    n = np.array([lines.count(a) + lines.count(b) for a, b in pairs])
+    out = lines.apart(lines.maps(list(x)), lines.maps(list(y)), n)
+    near = np.array([lines.similar(lines.shingles(a), lines.shingles(b)) for a, b in pairs])
+    assert near.sum() > 40 and not (out & near).any() and out.sum() > 20
+
+
 def test_substrings(docs, none):
     got = substrings.dedup_substrings(docs).collect()
     assert len(got) == len(ROWS)
