@@ -13,6 +13,7 @@ by `orphans`. Texts that aren't such JSON are plain messages. Null ids and names
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 _MESSAGE = "tool_calls array<struct<id string, name string, arguments string, after array<string>>>, tool_call_id string, content string"
-#: Steps by which a call is moved behind those it needs, before it counts as part of a cycle; turns in a range of places.
+#: Steps that move calls behind those they need by joins, before `_settled` orders what is still late; turns in a range of places.
 MOVES, RANGE = 20, 256
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -70,13 +71,77 @@ def _results(parsed: DataFrame) -> DataFrame:
     return rows.groupBy(*_ids("id")).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
 
 
+def settle(own: list[tuple[int, int]], needs: list[list[int]]) -> list[tuple[int, int, bool]]:
+    """(place, depth, cycle) of calls with (turn, i) own, which need the calls at the positions `needs`: Tarjan's components, each after those it needs.
+    Members of a cycle keep their places; a call behind one is placed behind it like behind any other."""
+    n, count, stack, key = len(own), 0, [], [None] * len(own)
+    seen, low, on, cyclic = [-1] * n, [0] * n, [False] * n, [False] * n
+    for start in range(n):
+        work = [(start, iter(needs[start]))] if seen[start] < 0 else []
+        while work:
+            v, todo = work[-1]
+            if seen[v] < 0:
+                seen[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = True
+            for w in todo:
+                if seen[w] < 0:
+                    work.append((w, iter(needs[w])))
+                    break
+                if on[w]:
+                    low[v] = min(low[v], seen[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] < seen[v]:
+                    continue
+                at = len(stack) - 1
+                while stack[at] != v:
+                    at -= 1
+                members = stack[at:]
+                del stack[at:]
+                for m in members:
+                    on[m], (turn, i) = False, own[m]
+                    key[m] = (turn, 0, turn, i)
+                    cyclic[m] = len(members) > 1 or m in needs[m]
+                    if needs[m] and not cyclic[m] and (need := max(key[w] for w in needs[m])) >= key[m]:
+                        key[m] = (need[0], need[1] + 1, turn, i)
+    return [(k[0], k[1], c) for k, c in zip(key, cyclic, strict=True)]
+
+
+def _settled(calls: DataFrame, ends: DataFrame, late: DataFrame) -> DataFrame:
+    """(c, k, place, depth, cycle) of the calls that hang together, over needs, with a late one; each such group is ordered in one task."""
+    node = lambda k: F.xxhash64("c", k)
+    hot = late.select("c").distinct()
+    edges = common.materialize(ends.where("known").join(hot, "c", "left_semi").select("c", "to", F.col("k").alias("need")))
+    linked = common.materialize(common.components(edges.select(node("need").alias("u"), node("to").alias("v"))))
+    part = F.coalesce("root", node("k"))
+    of = lambda df: df.join(linked, node("k") == F.col("node"), "left").withColumn("part", part).drop("node", "root")
+    needs = edges.groupBy("c", F.col("to").alias("k")).agg(F.collect_list("need").alias("needs"))
+    rows = of(calls.select("c", "k", "turn", "i").join(hot, "c", "left_semi")).join(of(late.select("c", "k")).select("part").distinct(), "part", "left_semi")
+    rows = rows.join(needs, ["c", "k"], "left").select("part", "c", "k", "turn", "i", "needs").repartition("part").sortWithinPartitions("part")
+
+    def run(batches):
+        flat = (row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+        for _, group in groupby(flat, lambda row: row[0]):  # a group may go on in the next batch
+            _, c, k, turn, i, needed = zip(*group, strict=True)
+            at = {x: n for n, x in enumerate(zip(c, k, strict=True))}
+            found = settle(list(zip(turn, i, strict=True)), [[at[x, y] for y in ys or ()] for x, ys in zip(c, needed, strict=True)])
+            place, depth, cycle = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k), pa.array(place, pa.int64()), pa.array(depth, pa.int32()), pa.array(cycle)], names=["c", "k", "place", "depth", "cycle"])
+
+    return rows.mapInArrow(run, "c string, k string, place bigint, depth int, cycle boolean")
+
+
 def _moved(calls: DataFrame) -> DataFrame:
     """calls: (c, k, turn, i, after). (c, k, place, depth, missing, cycle): the order is by place, depth, turn, i."""
     edges = calls.select("c", F.col("k").alias("to"), F.explode("after").alias("k")).where("k is not null").distinct()
     ends = common.materialize(edges.join(calls.select("c", "k", F.lit(True).alias("known")), ["c", "k"], "left").select("c", "k", "to", F.coalesce("known", F.lit(False)).alias("known")))
     lacking = ends.where(~F.col("known")).groupBy("c", F.col("to").alias("k")).agg(F.count(F.lit(1)).alias("missing"))
-    at = common.materialize(calls.select("c", "k", "i", F.col("turn").alias("place"), F.lit(0).alias("depth")))
-    key = F.struct("place", "depth", "i")
+    at = common.materialize(calls.select("c", "k", "turn", "i", F.col("turn").alias("place"), F.lit(0).alias("depth")))
+    key = F.struct("place", "depth", "turn", "i")
     late = None
     for step in range(MOVES + 1):
         needed = ends.where("known").join(at.select("c", "k", key.alias("need")), ["c", "k"]).select("c", F.col("to").alias("k"), "need")
@@ -85,9 +150,13 @@ def _moved(calls: DataFrame) -> DataFrame:
         if step == MOVES or late.isEmpty():
             break
         at = at.join(late, ["c", "k"], "left")
-        at = common.materialize(at.select("c", "k", "i", F.coalesce("need.place", "place").alias("place"), F.coalesce(F.col("need.depth") + 1, F.col("depth")).alias("depth")))
-    at = at.join(lacking, ["c", "k"], "left").join(late.select("c", "k", F.lit(True).alias("cycle")), ["c", "k"], "left")
-    return at.select("c", "k", "place", "depth", F.coalesce("missing", F.lit(0).cast("bigint")).alias("missing"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
+        at = common.materialize(at.select("c", "k", "turn", "i", F.coalesce("need.place", "place").alias("place"), F.coalesce(F.col("need.depth") + 1, F.col("depth")).alias("depth")))
+    at = at.select("c", "k", "place", "depth", F.lit(False).alias("cycle"))
+    if not late.isEmpty():
+        new = common.materialize(_settled(calls, ends, late))
+        at = at.join(new, ["c", "k"], "left_anti").unionByName(new)
+    at = at.join(lacking, ["c", "k"], "left")
+    return at.select("c", "k", "place", "depth", F.coalesce("missing", F.lit(0).cast("bigint")).alias("missing"), "cycle")
 
 
 def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
