@@ -296,12 +296,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without the repeated lines, other columns unchanged (n_chars, where there is one, follows the text). Documents stay, if need be with an empty text."""
-    if not common.unique_key(docs):
-        raise ValueError("dedup_lines: doc_id must be unique and not null; removed_lines takes any rows")
-    gone = _per_document(docs.select(F.col("doc_id").cast("bigint").alias("uid"), "text"))
+    """docs without the repeated lines, other columns unchanged (n_chars, where there is one, follows the text). Documents stay, if need be with an empty text.
+    Rows that repeat an id, or have none, are told apart by a hash of their text, as in removed_lines."""
     names = docs.columns
-    joined = docs.join(gone, F.col("doc_id") == F.col("__u"), "left")
+    if common.unique_key(docs):
+        gone = _per_document(docs.select(F.col("doc_id").cast("bigint").alias("uid"), "text"))
+        joined = docs.join(gone, F.col("doc_id") == F.col("__u"), "left")
+    else:
+        rows = _with_uid(docs.select("doc_id", "text"))
+        marks = rows.select("uid", F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__k")).distinct()
+        gone = common.materialize(_per_document(rows).join(marks, F.col("__u") == F.col("uid")).select("__d", "__k", "removed"))
+        joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
     joined = joined.withColumn("text", text)

@@ -2,7 +2,7 @@
 
 import json
 
-from tessera.llm import tool_calls
+from tessera.llm import lines, tool_calls
 
 
 def chain(spark, rows):
@@ -31,3 +31,16 @@ def test_equal_places(spark):
     rows = [(1, 3, "assistant", calls(("m", []), ("a", ["n", "z"]))), (1, 4, "assistant", calls(("n", ["z"]))), (1, 5, "assistant", calls(("z", [])))]
     got = {r.call_id: r.position for r in tool_calls.linked_calls(chain(spark, rows), {"f": {"type": "object"}}).collect()}
     assert got["z"] < got["n"] < got["a"]
+
+
+def test_dedup_lines_takes_any_ids(spark):
+    same, other = "a line that is long enough to count", "something else entirely, and long too"
+    rows = [(1, same + "\n" + other, 9), (1, other, 8), (1, other, 7), (2, same, 6), (None, same + "\nonly here, in the null row", 5), (None, None, 4), (3, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid int")
+    got = {r.uid: (r.doc_id, r.text) for r in lines.dedup_lines(df).collect()}
+    want = {r["doc_id"]: 0 for r in lines.removed_lines(df).collect()}
+    assert set(want) == {1, 2, 3, None} and len(got) == len(rows)
+    kept = [x for _, t in got.values() for x in (t or "").split("\n") if x]
+    assert kept.count(same) == 1 and kept.count("only here, in the null row") == 1
+    assert [got[8], got[7]] in ([(1, other)] * 2, [(1, "")] * 2)
+    assert got[6] == (2, "") and got[4] == (None, None) and got[3] == (3, None)
