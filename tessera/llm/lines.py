@@ -99,13 +99,17 @@ def count(line: str) -> int:
 
 def bands(lines: list[str]) -> np.ndarray:
     """A row of BANDS keys for each line (normalised, not empty)."""
-    bins = BANDS * ROWS
-    h, owner = _hashed(lines)
+    return keys(*_hashed(lines), len(lines))
+
+
+def keys(h: np.ndarray, owner: np.ndarray, n: int, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A row of keys, one a band, for each of n sets, from the hashes of their members and the numbers of the sets that these are in."""
+    bins = bands * rows
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    table = np.full(len(lines) * bins, none)
+    table = np.full(n * bins, none)
     place = (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64)
     np.minimum.at(table, owner * bins + place, common.mix(h))
-    table = table.reshape(len(lines), bins)
+    table = table.reshape(n, bins)
     full = table != none
     row, column = np.nonzero(~full)
     for k in range(1, 400):  # an empty bin takes the value of one that its number picks, the same in every line
@@ -116,10 +120,10 @@ def bands(lines: list[str]) -> np.ndarray:
         table[row[got], column[got]] = table[row[got], source[got]]
         row, column = row[~got], column[~got]
     table[row, column] = table[row].min(1) if len(row) else 0
-    keys = np.broadcast_to(common.mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(lines), BANDS)).copy()
-    for k in range(ROWS):
-        keys = common.mix(keys * _C + table[:, k::ROWS])
-    return keys
+    found = np.broadcast_to(common.mix(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
+    for k in range(rows):
+        found = common.mix(found * _C + table[:, k::rows])
+    return found
 
 
 def numbered(rows: DataFrame) -> DataFrame:

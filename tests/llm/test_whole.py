@@ -1,7 +1,9 @@
 """Whole jobs: inputs on which a bound, a key or a rule once left part of the work undone."""
 
 import json
+import random
 
+import corpus_pipeline
 from tessera.llm import lines, tool_calls
 
 
@@ -44,3 +46,36 @@ def test_dedup_lines_takes_any_ids(spark):
     assert kept.count(same) == 1 and kept.count("only here, in the null row") == 1
     assert [got[8], got[7]] in ([(1, other)] * 2, [(1, "")] * 2)
     assert got[6] == (2, "") and got[4] == (None, None) and got[3] == (3, None)
+
+
+def test_near_copies_by_shingles(spark):
+    """The stage against brute force over all pairs: 5-word Jaccard of 0.8, in chains, and pairs just under it."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for n in [60, 150, 400] * 12:
+        base = [word() for _ in range(n)]
+        texts.append(" ".join(base))
+        for edits in (n // 60, n // 42, n // 25):
+            own = list(base)
+            for at in r.sample(range(n), edits):
+                own[at] = word()
+            texts.append("  ".join(own).upper())
+    texts += ["a b c d", "a b c d e", "A b c\nd", "", None, " \n"]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root, linked = [grams(t) for t in texts], list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    assert linked > 25
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.text for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert got == {i: t for i, t in enumerate(texts) if root[i] == i}
