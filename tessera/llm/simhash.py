@@ -147,7 +147,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that are the first of their group, unchanged. Rows with null ids stay."""
+    """The rows of docs that are the first of their group, unchanged; of each id one row, whatever its text. Rows with null ids stay.
+
+    The pipeline uses near.keep_first, which goes by id and text; tests pin this one to a row for each id."""
     gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     kept = docs.join(common.materialize(gone.distinct()), F.col("doc_id") == F.col("__gone"), "left_anti")
     if common.unique_key(docs.where("doc_id is not null")):

@@ -79,3 +79,11 @@ def test_near_copies_by_shingles(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {x.doc_id: x.text for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
     assert got == {i: t for i, t in enumerate(texts) if root[i] == i}
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 0), (7, a + " x", 1), (7, b, 2), (7, "three", 3), (7, "three", 3), (None, a, 4), (None, "alone in here", 5), (None, b, 6), (8, "three", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid int").repartition(4)
+    got = sorted(x.uid for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == [0, 2, 3, 5]
