@@ -4,14 +4,15 @@ A text is a bag of sentences. A sentence's probability is logistic in its distin
 itself and by its stems (leading letters, which inflected forms share); a text's is the noisy-or of its sentences, and that is what
 training fits to document labels. Afterwards the sentences of high probability locate the offence.
 
-Training reads at most MAX_TRAIN labelled texts (those of the least hash of their id, so the choice is random, fixed and bounded); the model is a table of
-at most MAX_FEATURES weights. Scoring reads every whole text. Null and empty texts, and texts without words, are one sentence without words.
+Training reads at most MAX_TRAIN labelled texts (those of the least hash of their id, so the choice is random, fixed and bounded), whole, and skips those
+that don't fit what is left of MAX_TRAIN_CHARS characters for all together; the model is a table of at most MAX_FEATURES weights. Scoring reads every whole text. Null and empty texts, and texts without words, are one sentence without words.
 Sentences end at a full stop, exclamation or question mark followed by white space, at a line's end, or after 200 words.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Labelled texts and characters of a text that training reads, features in the model, texts a feature needs, words in a sentence, letters of stems, words whose weight a worker keeps.
-MAX_TRAIN, MAX_TRAIN_CHARS, MAX_FEATURES, MIN_TEXTS, SENTENCE_WORDS, STEMS, CACHE = 4000, 20_000, 30_000, 5, 200, (4, 5), 200_000
+#: Labelled texts that training reads and their characters together, features in the model, texts a feature needs, words in a sentence, letters of stems, words whose weight a worker keeps.
+MAX_TRAIN, MAX_TRAIN_CHARS, MAX_FEATURES, MIN_TEXTS, SENTENCE_WORDS, STEMS, CACHE = 4000, 32_000_000, 30_000, 5, 200, (4, 5), 200_000
 _END = re.compile(r"(?<=[.!?])\s+|[\n\r\u0085  ]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -148,9 +149,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on labelled rows outside the held-out fold, at most MAX_TRAIN of them; the join sends ids and labels of that many rows, then their texts."""
     named = labels.select("doc_id", F.col("toxic").cast("int").alias("__y")).where(F.col("__y").isin(0, 1) & ~held_out())
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(MAX_TRAIN)
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, MAX_TRAIN_CHARS).alias("__t")).join(F.broadcast(chosen), "doc_id")
-    got = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("__t")).limit(MAX_TRAIN).select("__t", "__y").toArrow()
-    return train(got.column(0).to_pylist(), got.column(1).to_pylist())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).join(F.broadcast(chosen), "doc_id").withColumn("__h", F.xxhash64("__t"))
+    key = ["doc_id", "__h", "__y"]
+    order = rows.select(*key, F.length("__t").alias("__n")).orderBy(F.xxhash64("doc_id"), "__h", "__y").limit(MAX_TRAIN).collect()
+    taken, left = Counter(), MAX_TRAIN_CHARS
+    for *row, n in order:
+        if n <= left:
+            left -= n
+            taken[tuple(row)] += 1
+    wanted = docs.sparkSession.createDataFrame([*taken], rows.select(*key).schema)
+    got = rows.join(F.broadcast(wanted), key).dropDuplicates(key).select(*key, "__t").toArrow()
+    found = {tuple(row): t for *row, t in zip(*(c.to_pylist() for c in got.columns), strict=True)}
+    both = [(found[row], row[2]) for row, n in taken.items() for _ in range(n)]
+    return train([t for t, _ in both], [y for _, y in both])
 
 
 def score_column(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

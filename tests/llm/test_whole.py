@@ -4,7 +4,7 @@ import json
 import random
 
 import corpus_pipeline
-from tessera.llm import lines, tool_calls
+from tessera.llm import lines, tool_calls, toxicity
 
 
 def chain(spark, rows):
@@ -87,3 +87,18 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, uid int").repartition(4)
     got = sorted(x.uid for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
     assert got == [0, 2, 3, 5]
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    """A long text whose offence is beyond any prefix teaches it; a budget of characters takes fewer whole texts."""
+    calm = "what a nice day it was. " * 1000
+    rows = [(i, calm + ("you wretched scoundrel." if i % 2 else "")) for i in range(40)] + [(1, calm + "you wretched scoundrel.")] * 2 + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.score("oh you wretched scoundrel.") > 0.5 > model.score("what a nice day it was.")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.extend(texts))
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_CHARS", 100_000)
+    toxicity.fit(docs, labels)
+    assert 4 <= len(seen) <= 5 and set(seen) <= {t or "" for _, t in rows}
