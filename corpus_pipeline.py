@@ -22,7 +22,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by 5-word Jaccard 0.8, stays."""
+    """One document of each group of near copies stays: SimHash candidates by tiles, verified by 5-word Jaccard 0.8."""
     return near.keep_first(docs)
 
 
@@ -47,7 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.materialize(docs)
-            common.release(spark)
     return docs
 
 
