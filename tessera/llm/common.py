@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,34 +22,69 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: dict[str, SparkSession] = {}
+_KEEP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a session without one, as in tests, gets a local folder."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a session without one, as in tests, gets a local folder.
+
+    What is left of it goes when the driver's Python ends (`sweep`). A driver that is killed leaves folders named tessera-*, which any later job may delete.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(sweep)
+    _MADE[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep() -> None:
+    """Deletes the scratch folders that this driver made and has not discarded."""
+    while _MADE:
+        path, spark = _MADE.popitem()
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be stopped already
+            return
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage with data that outlives executors, and gives the planner real sizes."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage with data that outlives executors, and gives the planner real sizes.
+
+    The shuffle files of the write are dropped with its end: the written table replaces them, so disk holds one step's shuffles and not all steps'.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    before = spark.conf.get(_KEEP_SHUFFLES, None)
+    spark.conf.set(_KEEP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_KEEP_SHUFFLES) if before is None else spark.conf.set(_KEEP_SHUFFLES, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._tessera_path = path
+    return found
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop the shuffle files of steps that are materialized, before the next step adds its own."""
-    import gc
-    import time
 
-    for _ in range(2):  # what the first round frees may hold more; the cleaner works beside
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more: every reader has been written itself."""
+    for df in tables:
+        if path := getattr(df, "_tessera_path", None):
+            _MADE.pop(path, None)
+            _delete(df.sparkSession, path)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +180,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.union(least.select("u", "m")).toDF("u", "v").distinct())
+        after = materialize(small.union(least.select("u", "m")).toDF("u", "v").distinct())
+        discard(e, large)
+        e = after
     else:
         raise RuntimeError(f"components: no end after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())

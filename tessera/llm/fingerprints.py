@@ -11,6 +11,7 @@ Rows are in order of id, nulls first; rows that repeat an id are ordered by text
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections import Counter
@@ -24,6 +25,8 @@ from tessera.llm import common
 
 #: Hash functions, and terms with their weight whose draws a worker keeps.
 SAMPLES, CACHE = 128, 60_000
+#: Bytes of text in a range of ids, and the most ranges, whose ends the plan holds.
+RANGE_BYTES, MAX_RANGES = 8 << 20, 10_000
 _BITS = 16
 _U = (np.arange(1 << _BITS, dtype=np.float64) + 0.5) / (1 << _BITS)
 
@@ -84,6 +87,12 @@ class Sampler:
         return code.tobytes()
 
 
+@functools.cache
+def shared_sampler() -> Sampler:
+    """A worker's sampler: tasks that follow each other in one process find the draws that the ones before made."""
+    return Sampler()
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """The generalised Jaccard similarity that two fingerprints estimate, 0 to 1."""
     if a == b:
@@ -114,12 +123,14 @@ def _place(opens: list[int]) -> Column:
 def with_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited text (see `edited`; the first text follows the last), and their likeness.
 
-    One shuffle: rows are dealt to ranges of ids at quantiles of the id column; the first rows of a range also go to the range before, as followers.
+    One shuffle: rows are dealt to ranges of ids at quantiles of the id column, about RANGE_BYTES of text each and each a partition of its own; the first rows of
+    a range also go to the range before, as followers. A range streams through its task after a sort that spills. Rows that share one id are in one range.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if parts is None:
+        whole = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+        parts = max(2, min(MAX_RANGES, -(-whole // RANGE_BYTES)))
     known, nulls = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)], 100_000), F.count_if(F.col("doc_id").isNull())).first()
     marks = sorted(set(known or []))
     first = None if nulls or not marks else ids.agg(F.min("doc_id")).first()[0]
@@ -135,7 +146,7 @@ def with_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     dealt = dealt.select(F.col("__p.b").alias("b"), F.col("__p.f").alias("f"), "doc_id", "text")
 
     def run(batches):
-        sampler = Sampler()
+        sampler = shared_sampler()
         held = None  # (range, doc_id, text, fingerprint) that waits for its follower
 
         def close(follower, mark):
@@ -161,7 +172,7 @@ def with_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
         if held is not None:
             raise RuntimeError("the last range has no follower")
 
-    return dealt.repartition(n, "b").sortWithinPartitions("b", "f", "doc_id", "text").mapInArrow(run, RESULT)
+    return dealt.repartitionById(n, F.col("b")).sortWithinPartitions("b", "f", "doc_id", "text").mapInArrow(run, RESULT)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

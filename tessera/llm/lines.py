@@ -255,36 +255,32 @@ def _rest(buckets: DataFrame, texts: DataFrame) -> DataFrame:
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
     """rows: (uid, text). (uid, no, id, root): the lines that are not the first of their component."""
-    spark = rows.sparkSession
     lines = common.materialize(numbered(rows))
-    common.release(spark)
     keyed = lines.where(F.size("keys") > 0).select("id", F.explode("keys").alias("band"))
     least = Window.partitionBy("band")
     keyed = keyed.withColumns({"rep": F.min("id").over(least), "most": F.max("id").over(least)}).where("rep <> most")
     keyed = common.materialize(keyed.select("band", "id", "rep").distinct())
-    common.release(spark)
     first = lines.groupBy("id").agg(F.min(F.struct("uid", "no")).alias("f"))
     places = keyed.select("id").distinct().join(first, "id").select("id", "f.uid", "f.no")
     texts = common.materialize(_texts(rows, places))
-    common.release(spark)
     good = common.materialize(_verify(keyed.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), texts))
     linked = common.components(good)
     buckets = keyed.where("id <> rep").join(linked, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     more = common.materialize(_rest(buckets, texts))
     if not more.isEmpty():
         linked = common.components(good.union(more))
-    common.release(spark)
     nodes = lines.groupBy("id").agg(F.min(F.struct("uid", "no")).alias("f"), F.count(F.lit(1)).alias("n")).join(linked.toDF("node", "root"), F.col("id") == F.col("node"), "left")
     nodes = nodes.select("id", "f", "n", F.coalesce("root", "id").alias("root"))
     roots = nodes.groupBy("root").agg(F.min("f").alias("first"), F.sum("n").alias("all")).where("all > 1")
     several = nodes.join(roots.withColumnRenamed("root", "__r"), F.col("root") == F.col("__r")).select(F.col("id").alias("__i"), "root", "first")
     several = common.materialize(several)
+    common.discard(keyed, texts, good, more)
     found = lines.select("uid", "no", "id").join(several, F.col("id") == F.col("__i"))
     return found.where(F.struct("uid", "no") != F.col("first")).select("uid", "no", "id", "root")
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
-    gone = repeated_lines(rows).groupBy("uid").agg(F.array_sort(F.collect_set("no")).alias("removed")).withColumnRenamed("uid", "__u")
+    gone = repeated_lines(rows).groupBy("uid").agg(F.array_sort(F.collect_set("no")).alias("__removed")).withColumnRenamed("uid", "__u")
     return common.materialize(gone)
 
 
@@ -295,7 +291,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     n = F.when(F.length("text") > 0, n).otherwise(F.lit(0)).cast("bigint")
     counts = rows.select("uid", "doc_id", n.alias("n_lines"))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    removed = F.coalesce("__removed", F.array().cast("array<int>"))
     return counts.join(gone, F.col("uid") == F.col("__u"), "left").select("doc_id", "n_lines", F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"))
 
 
@@ -309,10 +305,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     else:
         rows = _with_uid(docs.select("doc_id", "text"))
         marks = rows.select("uid", F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__k")).distinct()
-        gone = common.materialize(_per_document(rows).join(marks, F.col("__u") == F.col("uid")).select("__d", "__k", "removed"))
+        gone = common.materialize(_per_document(rows).join(marks, F.col("__u") == F.col("uid")).select("__d", "__k", "__removed"))
         joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__k")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n")
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
     joined = joined.withColumn("text", text)
     if "n_chars" in names:
         joined = joined.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))

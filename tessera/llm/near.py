@@ -1,9 +1,13 @@
-"""Near copies of documents: one stays of each group linked by a Jaccard similarity of SIMILAR over the sets of SHINGLE-word runs.
+"""The pipeline's stage of SimHash near-dedup: one document stays of each group linked by a Jaccard similarity of SIMILAR over the sets of SHINGLE-word runs.
 
 Texts are compared as words in lower case (A-Z) between ASCII white space; a text with fewer words is one run, and texts without words, null ones too, are
-equal. Candidates are texts that share one of 20 bands of 3 MinHash values (`lines.keys`); a pair at a similarity of just 0.8 misses all of them with a
-chance of 6e-7 by the independent model, somewhat more where a set is smaller than the 60 values. Every link is verified on the whole sets, of 64-bit hashes. A band's texts are first compared with its least, which joins groups of near copies without their
-pairs; bands that still hold several components are compared pair by pair in blocks, skipping what is joined.
+equal. Candidates come from SimHash by tiles, as in `simhash.py`: fingerprints have BITS bits and lie within RADIUS. At a similarity of just 0.8 bits differ
+with a chance of acos(2 * 0.8 / 1.8) / pi = 0.15, so 19 of 128 are expected, with a deviation of 4, and 30 are exceeded by 0.3 % of pairs (sets of under 10
+runs: some 5 %); unrelated texts differ in 64, with a deviation of 5.7, and one pair in 10^9 lies within 30. Tiles hold texts of like size, as sets that
+differ in size by more than a factor of 1.25 can't be that similar, and blocks whose population counts differ beyond the radius are skipped.
+
+Every link is verified on the whole sets, of 64-bit hashes. Groups of candidates are first compared with their least, which joins groups of near copies
+without their pairs; those that still hold several components are compared pair by pair in blocks, skipping what is joined.
 
 The survivor of a group is the row of least doc_id (null ids last), then least hash of its text, so ids may repeat or be null.
 """
@@ -17,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common, lines
+from tessera.llm import common, simhash
 
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 3
-#: Documents in a block of a band that is compared pair by pair.
+SHINGLE, SIMILAR, BITS, RADIUS = 5, 0.8, 128, 30
+#: Most bits that may differ in the first half of a fingerprint: its mean at 0.8 is 9.7, its deviation 2.9.
+HALF_RADIUS = 22
+#: Documents in a block of a group that is compared pair by pair.
 BLOCK = 200
 _C = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = common.space_table()
@@ -51,6 +57,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def prints(found: list[np.ndarray]) -> np.ndarray:
+    """A row of BITS // 64 words for each set: the bits that over half of its members, hashed anew for each word, have."""
+    out = np.zeros((len(found), BITS // 64), np.uint64)
+    for row, x in enumerate(found):
+        for word in range(BITS // 64):
+            h = common.mix(x ^ np.uint64(int(_C) * (word + 1) % (1 << 64)))
+            ones = sum(np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(h), 1 << 15))
+            out[row, word] = np.packbits(2 * ones > len(x), bitorder="little").view(np.uint64)[0] if len(x) else 0
+    return out
+
+
 def _key() -> list:
     return [F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")]
 
@@ -62,7 +79,7 @@ def _texts(batch, at: int):
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(no_id, d, h, node, bands) of every row: a hash of the set of runs, and the bands of texts that have words."""
+    """(no_id, d, h, node, size, p0, p1) of every row: a hash of the set of runs, its size and fingerprint."""
     rows = docs.select(*_key(), "text")
 
     def run(batches):
@@ -70,16 +87,68 @@ def _marks(docs: DataFrame) -> DataFrame:
             for a, b, found in _texts(batch, 3):
                 node = [int(np.bitwise_xor.reduce(x)) ^ len(x) for x in found]
                 node = common.mix(np.array(node, np.uint64)).view(np.int64)
-                full = np.array([len(x) > 0 for x in found], bool)
-                owner = np.repeat(np.arange(full.sum()), [len(x) for x in found if len(x)])
-                keys = lines.keys(np.concatenate([x for x in found if len(x)]), owner, int(full.sum()), BANDS, ROWS) if full.any() else np.zeros(0, np.uint64)
-                cuts = np.append(0, np.cumsum(full) * BANDS).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64).ravel()))
+                fp = prints(found).view(np.int64)
                 own = [batch.column(i).slice(a, b - a) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(node), bands], names=["no_id", "d", "h", "node", "bands"])
+                size = pa.array([len(x) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node), size, *(pa.array(fp[:, k]) for k in range(2))], names=["no_id", "d", "h", "node", "size", "p0", "p1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"no_id boolean, d {kind}, h bigint, node bigint, bands array<bigint>")
+    return rows.mapInArrow(run, f"no_id boolean, d {kind}, h bigint, node bigint, size bigint, p0 bigint, p1 bigint")
+
+
+def links(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (node, root) of the pairs within RADIUS. a, b: rows of node, p0, p1, as uint64."""
+
+    def ordered(x):
+        ones = np.bitwise_count(x[:, 1:]).sum(axis=1, dtype=np.int64)
+        by = np.argsort(ones, kind="stable")
+        return x[by], ones[by]
+
+    a, ones = ordered(a)
+    other, counts = (a, ones) if b is None else ordered(b)
+    both = a if b is None else np.concatenate([a, other])
+    shift = 0 if b is None else len(a)
+    forest, rows = simhash.Forest(len(both)), 64
+    for at in range(0, len(a), rows):
+        to = min(len(a), at + rows)
+        first = max(at if b is None else 0, int(np.searchsorted(counts, ones[at] - RADIUS, "left")))
+        last = int(np.searchsorted(counts, ones[to - 1] + RADIUS, "right"))
+        step = simhash.BLOCK // rows
+        for lo in range(first, last, step):
+            hi = min(last, lo + step)
+            half = np.bitwise_count(a[at:to, 1][:, None] ^ other[lo:hi, 1][None, :])
+            i, j = np.nonzero(half <= HALF_RADIUS)
+            good = half[i, j] + np.bitwise_count(a[at:to, 2][i] ^ other[lo:hi, 2][j]) <= RADIUS
+            if good.any():
+                forest.link(i[good] + at, j[good] + lo + shift)
+    node = np.flatnonzero(forest.root != np.arange(len(both)))
+    return both[node, 0], both[forest.root[node], 0]
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """nodes: (node, size, p0, p1), a row a node. Links (u, v) with the same components as all pairs of like size within RADIUS."""
+    cell = F.floor(F.log("size") / F.log(F.lit(1.26))).cast("int")
+    marks = simhash.tiled(nodes.select(F.col("node").alias("fp"), "p0", "p1", cell.alias("cell")))
+    tiles = marks.groupBy("tile", "cell").agg(F.collect_list("fp").alias("n"), F.collect_list("p0").alias("p0"), F.collect_list("p1").alias("p1"))
+    tiles = common.materialize(tiles)
+    pairs = simhash.tile_pairs(tiles.select("tile", "cell"), 129, 1, 1)
+    sides = [tiles.select(F.col("tile").alias(side), F.struct("n", "p0", "p1").alias(f"of_{side}")) for side in "ab"]
+    work = pairs.join(sides[0], "a").join(sides[1], "b")
+    work = work.select("a", "b", "of_a", F.when(F.col("a") != F.col("b"), F.col("of_b")).alias("of_b")).repartition("a", "b")
+
+    def side(x) -> np.ndarray:
+        return np.stack([x[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for k in ("n", "p0", "p1")], 1)
+
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = links(side(x), side(y) if y.is_valid else None)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    found = common.materialize(work.mapInArrow(run, "u bigint, v bigint"))
+    common.discard(tiles)
+    return found
 
 
 def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -109,7 +178,7 @@ def _verify(pairs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _rest(bands: DataFrame, runs: DataFrame) -> DataFrame:
-    """bands: (band, node, root), without each band's least. Links between texts of a band and different roots, found pair by pair."""
+    """bands: (band, node, root), without each group's least. Links between texts of a group and different roots, found pair by pair."""
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     rows = bands.join(sizes.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "band")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -137,30 +206,31 @@ def _rest(bands: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
-def _linked(marks: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(node, root) of the nodes with a similar one."""
-    spark = docs.sparkSession
-    keyed = marks.select("node", F.explode("bands").alias("band")).distinct()
-    reps = keyed.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("most")).where("rep <> most").select("band", "rep")
-    keyed = common.materialize(keyed.join(reps, "band"))
-    common.release(spark)
-    runs = common.materialize(_sets(docs, keyed.select("node").distinct().join(first, "node").select("f.no_id", "f.d", "f.h", "node")))
-    common.release(spark)
-    others = keyed.where("node <> rep")
-    good = common.materialize(_verify(others.select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct(), runs))
-    linked = common.components(good).toDF("__n", "root")
-    bands = others.join(linked, F.col("node") == F.col("__n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+def _linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """nodes: (node, size, p0, p1, f). (__n, root) of the nodes with a similar one."""
+    groups = common.materialize(common.components(candidates(nodes.where("size > 0"))).toDF("__n", "band"))
+    wanted = nodes.join(groups, F.col("node") == F.col("__n"))
+    runs = common.materialize(_sets(docs, wanted.select("f.no_id", "f.d", "f.h", "node")))
+    others = groups.where("__n <> band")
+    good = common.materialize(_verify(others.select(F.col("__n").alias("u"), F.col("band").alias("v")), runs))
+    star = good.select(F.col("u").alias("__u"), F.col("v").alias("root"))
+    bands = others.join(star, F.col("__n") == F.col("__u"), "left").select("band", F.col("__n").alias("node"), F.coalesce("root", "__n").alias("root"))
     more = common.materialize(_rest(bands, runs))
-    return linked if more.isEmpty() else common.components(good.union(more)).toDF("__n", "root")
+    linked = good.unionByName(good.select(F.col("v").alias("u"), "v").distinct()) if more.isEmpty() else common.components(good.union(more))
+    linked = common.materialize(linked.toDF("__n", "root"))
+    common.discard(groups, runs, good, more)
+    return linked
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their group, unchanged; one of rows that are equal in id and text."""
     marks = common.materialize(_marks(docs))
-    first = common.materialize(marks.groupBy("node").agg(F.min(F.struct("no_id", "d", "h")).alias("f")))
-    linked = _linked(marks, docs, first)
-    roots = first.join(linked, F.col("node") == F.col("__n"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("f").alias("f"))
+    own = [F.first(k).alias(k) for k in ("size", "p0", "p1")]
+    nodes = common.materialize(marks.groupBy("node").agg(*own, F.min(F.struct("no_id", "d", "h")).alias("f")))
+    linked = _linked(nodes, docs)
+    roots = nodes.join(linked, F.col("node") == F.col("__n"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("f").alias("f"))
     stay = common.materialize(roots.select(F.col("f.d").alias("__d"), F.col("f.h").alias("__h")))
+    common.discard(marks, nodes, linked)
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
     if common.unique_key(docs):
         return kept

@@ -1,11 +1,13 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Distinct fingerprints are dealt to tiles by the population counts of their two halves. Two tiles whose counts differ by more than the radius hold no pair
-within it and are skipped; the others are compared whole, with numpy's exclusive or and bit counts, large ones by finer counts of the same kind. A task
-returns a spanning forest of the links that it finds, so a group of n near copies gives n links and not n * n; components come from a distributed
-large-star/small-star over those. Exact copies meet before, in one aggregate with a row for each distinct fingerprint.
+Distinct fingerprints are dealt to tiles by population counts. Two tiles whose counts differ by more than the radius hold no pair within it and are skipped;
+the others are compared whole, with numpy's exclusive or and bit counts, large ones by finer counts of the same kind. The pairs of tiles come from a join of
+the table of tiles with itself on neighbouring counts. A task returns a spanning forest of the links that it finds, so a group of n near copies gives n links
+and not n * n; components come from a distributed large-star/small-star over those. Exact copies meet before, in one aggregate with a row for each
+distinct fingerprint.
 
 Null and empty texts have no words and fingerprint zero. Repeated rows are copies of each other. A null doc_id is no representative unless all are null.
+`near.py` uses the same tiles on fingerprints of 128 bits, for the pipeline's stage.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 #: Fingerprints in a tile, and in a block of comparisons.
-TILE, BLOCK = 1 << 16, 1 << 20
+TILE, BLOCK = 1 << 16, 1 << 18
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
 
@@ -87,7 +89,7 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np
     both = a if b is None else np.concatenate([a, b])
     forest, other, shift = Forest(len(both)), (a if b is None else b), (0 if b is None else len(a))
     whole = [(None, np.arange(len(a)))], [(None, np.arange(len(other)))]
-    left, right = (_fine(a), _fine(other)) if len(a) * len(other) > 8 * BLOCK else whole
+    left, right = (_fine(a), _fine(other)) if len(a) * len(other) > 32 * BLOCK else whole
     for ca, ga in left:
         for cb, gb in right:
             if ca is not None and np.abs(ca - cb).sum() > radius:
@@ -102,24 +104,34 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np
     return both[node], both[forest.root[node]]
 
 
+def tile_pairs(tiles: DataFrame, cells: int, radius: int, axes: int) -> DataFrame:
+    """(a, b) of the tiles to compare, a <= b: those whose cells differ by at most the radius. tiles: (tile, cell); a cell numbers `axes` counts of 0 to cells - 1."""
+    steps = range(-radius, radius + 1)
+    near = [(0, d) for d in steps] if axes == 1 else [(c, d) for c in steps for d in steps if abs(c) + abs(d) <= radius]
+    moves = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.lit(d).alias("d")) for c, d in near))).alias("m")
+    first, second = F.floor(F.col("cell") / cells) + F.col("m.c"), F.pmod("cell", F.lit(cells)) + F.col("m.d")
+    inside = first.between(0, cells - 1) & second.between(0, cells - 1)
+    own = tiles.select(F.col("tile").alias("a"), "cell", moves).where(inside).select("a", (first * cells + second).cast("int").alias("cell"))
+    return own.join(tiles.withColumnRenamed("tile", "b"), "cell").where("a <= b").select("a", "b")
+
+
+def tiled(marks: DataFrame) -> DataFrame:
+    """marks (fp, cell, ...) with a column tile: a cell's rows are dealt to as many tiles of TILE rows as they fill. Collects a count for each cell, 1,089 at most."""
+    sizes = dict(marks.groupBy("cell").count().collect())
+    parts = [F.lit(max(1, -(-sizes.get(c, 0) // TILE))) for c in range(max(sizes, default=0) + 1)]
+    split = F.element_at(F.array(*parts), F.col("cell") + 1)
+    return marks.withColumn("tile", F.col("cell").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("fp"), split))
+
+
 def near_links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """marks: (fp), distinct. Returns links (u, v) with the same components as all pairs within the radius."""
-    spark = marks.sparkSession
     half = lambda x: F.bit_count(x).cast("int")
     cell = half(F.shiftrightunsigned("fp", 32)) * 33 + half(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    marks = marks.withColumn("cell", cell)
-    sizes = dict(marks.groupBy("cell").count().collect())  # 1,089 rows at most
-    parts = {c: -(-n // TILE) for c, n in sizes.items()}
-    split = F.element_at(F.lit([parts.get(c, 1) for c in range(33 * 33)]), F.col("cell") + 1)
-    tile = F.col("cell").cast("bigint") * (1 << 20) + F.pmod(F.xxhash64("fp"), split)
-    tiles = common.materialize(marks.select("fp", tile.alias("tile")).groupBy("tile").agg(F.collect_list("fp").alias("fps")))
-    near = []
-    for c, n in parts.items():
-        for d in parts:
-            if d >= c and abs(c // 33 - d // 33) + abs(c % 33 - d % 33) <= radius:
-                near += [(c << 20 | i, d << 20 | j) for i in range(n) for j in range(parts[d]) if c != d or i <= j]
-    pairs = spark.createDataFrame(near or [(0, 0)], "a bigint, b bigint")
-    work = pairs.join(tiles.toDF("a", "x"), "a").join(tiles.toDF("b", "y"), "b")
+    marks = tiled(marks.select("fp", cell.alias("cell")))
+    tiles = common.materialize(marks.groupBy("tile", "cell").agg(F.collect_list("fp").alias("fps")))
+    pairs = tile_pairs(tiles.select("tile", "cell"), 33, radius, 2)
+    fps = tiles.select("tile", "fps")
+    work = pairs.join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b")
     work = work.select("a", "b", "x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y")).repartition("a", "b")
 
     def run(batches):
@@ -146,17 +158,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marks.join(of, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that are the first of their group, unchanged; of each id one row, whatever its text. Rows with null ids stay.
-
-    The pipeline uses near.keep_first, which goes by id and text; tests pin this one to a row for each id."""
-    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(common.materialize(gone.distinct()), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if common.unique_key(docs.where("doc_id is not null")):
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

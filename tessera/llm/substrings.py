@@ -1,8 +1,9 @@
 """Substring dedup by level-wise doubling.
 
-A window is 20 consecutive words. Level one takes runs of 5 words: the one of least hash in each window, which every copy of the window picks too. Runs
-that occur once alone end there; those that repeat are extended to the windows of 20 words (twice twice their length) that picked them. No window of 20
-words repeats unless its run does. Windows are then ordered by place under their hash, and all but the first of each are repeats; their words go.
+A window is 20 consecutive words. Level one takes runs of 5 words; those that occur once alone end there. At each further level, runs of twice the length
+whose two halves both repeat are compared, 10 words and then 20, until no candidate survives or the windows' own length is reached. At the first level only
+the run of least hash in each window is looked at, which every copy of the window picks too, so this saves rows and loses no window. Windows are then ordered
+by place under their hash, and all but the first of each are repeats; their words go.
 
 Documents are ordered by id (nulls first); rows that repeat an id are ordered by a hash of their text, and rows equal in both are one document, whose
 result each gets. Null texts have no words. Words and windows are compared by 64-bit hashes. Extra columns are ignored.
@@ -27,28 +28,46 @@ def _double(h: np.ndarray, n: int) -> np.ndarray:
     return h[: max(0, len(h) - n)] * np.uint64(pow(_C, n, 1 << 64)) + h[n:]
 
 
-class Levels:
-    """Runs and windows of the texts in a range of rows."""
+class Runs:
+    """Hashes of the runs of words in the texts of a range of rows."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.starts, self.ends, self.first = common.word_spans(data, offsets, _SPACE)
-        self.data = data
-        words = common.word_hashes(data, self.starts, self.ends)
-        self.counts = np.diff(self.first)
-        h = words[: max(0, len(words) - RUN + 1)].copy()
+        starts, ends, self.first = common.word_spans(data, offsets, _SPACE)
+        words = common.word_hashes(data, starts, ends)
+        self.h = words[: max(0, len(words) - RUN + 1)].copy()
         for i in range(1, RUN):
-            h = h * np.uint64(_C) + words[i : len(words) - RUN + 1 + i]
-        self.run = common.mix(h)
-        h = _double(_double(h, RUN), 2 * RUN)
-        left = np.repeat(self.first[1:], self.counts)[: len(h)] - np.arange(len(h))
-        self.windows = np.flatnonzero(left >= WINDOW)
-        self.hash = common.mix(h[self.windows])
-        least, pick, width = self.run, np.arange(len(self.run)), 1
-        while width < WINDOW - RUN + 1:  # the leftmost least of 2, 4, 8, 16 runs
-            a, b = least[:-width], least[width:]
-            right = b < a
-            least, pick, width = np.where(right, b, a), np.where(right, pick[width:], pick[:-width]), 2 * width
-        self.pick = pick[self.windows]
+            self.h = self.h * np.uint64(_C) + words[i : len(words) - RUN + 1 + i]
+        self.left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(words))  # words from here to the text's end
+
+    def at(self, length: int) -> np.ndarray:
+        """Hashes of the runs of RUN * 2 ** k words, by their starts; runs across texts are among them."""
+        h, n = self.h, RUN
+        while n < length:
+            h, n = _double(h, n), 2 * n
+        return common.mix(h)
+
+    def picked(self) -> np.ndarray:
+        """Starts of the first level's runs: the leftmost least hash in each window."""
+        least = common.mix(self.h)
+        pick, width = np.arange(len(least)), 1
+        while width < WINDOW - RUN + 1:  # of 2, 4, 8, 16 runs
+            right = least[width:] < least[:-width]
+            least, pick, width = np.where(right, least[width:], least[:-width]), np.where(right, pick[width:], pick[:-width]), 2 * width
+        return pick
+
+    def extended(self, alive: np.ndarray, length: int) -> np.ndarray:
+        """Starts of the candidates of this length; alive: a mask of the places that repeat at half of it.
+
+        After the first level, whose runs are picked ones, those are the halves of the windows whose pick repeats."""
+        if length == 2 * RUN:
+            windows = np.flatnonzero(self.left[: len(self.left) - WINDOW + 1] >= WINDOW) if len(self.left) >= WINDOW else np.zeros(0, np.int64)
+            windows = windows[alive[self.picked()[windows]]]
+            marks = np.zeros(len(self.left) + 1, bool)
+            for half in range(0, WINDOW, length):
+                marks[windows + half] = True
+            return np.flatnonzero(marks)
+        at = np.flatnonzero(alive[: max(0, len(self.left) - length + 1)])
+        return at[alive[at + length // 2] & (self.left[at] >= length)]
 
     def row(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
@@ -59,9 +78,8 @@ def _with_uid(docs: DataFrame) -> DataFrame:
     if common.unique_key(docs):
         return docs.select(F.col("doc_id").cast("bigint").alias("uid"), "doc_id", "text")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__h"))
-    order = rows.select("doc_id", "__h").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "__h")
-    ids = order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("__d long, __k long, uid long")
-    ids = common.materialize(ids)
+    order = rows.select(F.col("doc_id").alias("__d"), F.col("__h").alias("__k")).distinct().orderBy(F.col("__d").asc_nulls_first(), "__k")
+    ids = common.materialize(order.select("*", F.monotonically_increasing_id().alias("uid")))  # of sorted partitions, so it follows the order
     return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k"))).select("uid", "doc_id", "text")
 
 
@@ -82,21 +100,9 @@ def _salts(key: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(key: np.ndarray, uid: np.ndarray, pos: np.ndarray, name: str) -> pa.RecordBatch:
+def _rows(key: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     pos = pos.astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), pa.array(pos), pa.array(_salts(key, uid, pos))], names=[name, "uid", "pos", "salt"])
-
-
-def _runs(batches):
-    for batch in batches:
-        data, offsets = common.utf8(batch.column(1))
-        uid = batch.column(0).to_numpy()
-        for a, b in common.groups(offsets):
-            x = Levels(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            at = x.pick[np.flatnonzero(np.diff(x.pick, prepend=-1))]
-            row = x.row(at)
-            if len(at):
-                yield _rows(x.run[at], uid[a + row], at - x.first[row], "run")
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), pa.array(pos), pa.array(_salts(key, uid, pos))], names=["run", "uid", "pos", "salt"])
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +111,29 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n))
 
 
-def _windows(batches):
-    for batch in batches:
-        data, offsets = common.utf8(batch.column(1))
-        uid = batch.column(0).to_numpy()
-        pos, cuts = _lists(batch.column(2))
-        for a, b in common.groups(offsets):
-            x = Levels(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            alive = np.zeros(len(x.starts) + 1, bool)
-            alive[pos[cuts[a] : cuts[b]] + np.repeat(x.first[:-1], np.diff(cuts[a : b + 1]))] = True
-            on = np.flatnonzero(alive[x.pick])
-            at = x.windows[on]
-            row = x.row(at)
-            if len(at):
-                yield _rows(x.hash[on], uid[a + row], at - x.first[row], "window")
+def _level(length: int):
+    """A function over batches of (uid, text) and, above the first level, the places that repeat at half the length: rows of the candidates."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = common.utf8(batch.column(1))
+            uid = batch.column(0).to_numpy()
+            pos, cuts = _lists(batch.column(2)) if length > RUN else (None, None)
+            for a, b in common.groups(offsets):
+                x = Runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if length == RUN:
+                    windows = np.flatnonzero(x.left[: max(0, len(x.left) - WINDOW + 1)] >= WINDOW)
+                    at = x.picked()[windows] if len(windows) else windows
+                    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+                else:
+                    alive = np.zeros(len(x.left) + 1, bool)
+                    alive[pos[cuts[a] : cuts[b]] + np.repeat(x.first[:-1], np.diff(cuts[a : b + 1]))] = True
+                    at = x.extended(alive, length)
+                if len(at):
+                    row = x.row(at)
+                    yield _rows(x.at(length)[at], uid[a + row], at - x.first[row])
+
+    return run
 
 
 def _cut(batches):
@@ -145,19 +160,25 @@ def _cut(batches):
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """rows: (uid, text). (uid, pos): the starts of the windows whose words also start earlier."""
-    spark = rows.sparkSession
+    """rows: (uid, text). (__u, pos): the starts of the windows whose words also start earlier, by row."""
     own = F.greatest("salt", F.lit(0))
-    runs = rows.select("uid", "text").mapInArrow(_runs, "run bigint, uid bigint, pos int, salt int")
-    runs = runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run", own))).where("n > 1 or salt <> 0")
-    alive = common.materialize(runs.groupBy("uid").agg(F.collect_set("pos").alias("pos")).withColumnRenamed("uid", "__u"))
-    common.release(spark)
-    windows = rows.select("uid", "text").join(alive, F.col("uid") == F.col("__u")).select("uid", "text", "pos").mapInArrow(_windows, "window bigint, uid bigint, pos int, salt int")
-    order = Window.partitionBy("window", own).orderBy("uid", "pos")
-    windows = windows.withColumns({"u": F.first("uid").over(order), "p": F.first("pos").over(order)}).where("salt > 0 or uid > u or pos > p")
-    repeats = common.materialize(windows.groupBy("uid").agg(F.collect_set("pos").alias("pos")).withColumnRenamed("uid", "__u"))
-    common.release(spark)
-    return repeats
+    alive, length = None, RUN
+    while True:
+        texts = rows.select("uid", "text")
+        if alive is not None:
+            texts = texts.join(alive, F.col("uid") == F.col("__u")).select("uid", "text", "pos")
+        runs = texts.mapInArrow(_level(length), "run bigint, uid bigint, pos int, salt int")
+        if length == WINDOW:
+            order = Window.partitionBy("run", own).orderBy("uid", "pos")
+            runs = runs.withColumns({"u": F.first("uid").over(order), "p": F.first("pos").over(order)}).where("salt > 0 or uid > u or pos > p")
+        else:
+            runs = runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run", own))).where("n > 1 or salt <> 0")
+        found = common.materialize(runs.groupBy("uid").agg(F.collect_set("pos").alias("pos")).withColumnRenamed("uid", "__u"))
+        if alive is not None:
+            common.discard(alive)
+        if length == WINDOW or found.isEmpty():
+            return found
+        alive, length = found, 2 * length
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

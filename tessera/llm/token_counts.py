@@ -1,13 +1,16 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A text is split at ASCII white space, which the tokenizer drops and no token, merge or special string spans, so the counts of its pieces add up to
-the text's own. Pieces are encoded in batches bounded by bytes, each distinct piece once for as long as it stays in a bounded cache.
+A text is split at ASCII white space where the tokenizer drops it and no token, merge or special string spans it, so the counts of its pieces add up to
+the text's own; a tokenizer for which that isn't shown (`splits_at_space`) gets whole texts, in the same batches by bytes. Pieces are encoded in batches bounded by bytes, each distinct piece once for as long as it stays in a bounded cache.
 Null counts as the empty text, which has no tokens. Repeated rows keep a row each; there is no shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 from itertools import chain
 
 import pyarrow as pa
@@ -20,6 +23,32 @@ from tessera.llm import common
 BATCH_BYTES, CALL_BYTES, CACHE = 1 << 20, 1 << 20, 150_000
 
 
+def splits_at_space(tokenizer) -> bool:
+    """Whether texts may be split at ASCII white space: the first pre-tokenizer drops it, no normalizer or post-processor looks across it, and no added token holds any."""
+    spec = json.loads(tokenizer.to_str())
+    first = spec.get("pre_tokenizer") or {}
+    while first.get("type") == "Sequence":
+        first = (first.get("pretokenizers") or [{}])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", ".")
+    if first.get("type") == "Split" and first.get("behavior") == "Removed":
+        # What stays are matches: none may hold a space once its classes that exclude white space are set aside. Without invert, matches go: they must be the space.
+        rest = re.sub(r"\[\^\\s[^\]]*\]", "", pattern)
+        drops = not re.search(r"\s|\\[sWDPvhRX]|\[\^|\.", rest) if first.get("invert") else pattern in (r"\s+", r"\s")
+    else:
+        drops = first.get("type") in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit")
+
+    def local(step) -> bool:
+        if step is None or step["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer", "Nmt"):
+            return True
+        if step["type"] == "Replace":
+            return step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        return step["type"] == "Sequence" and all(map(local, step["normalizers"]))
+
+    added = spec.get("added_tokens") or []
+    plain = not any(set(x["content"]) & set(" \t\n\v\f\r") or x.get("lstrip") or x.get("rstrip") for x in added)
+    return bool(drops and local(spec.get("normalizer")) and plain)
+
+
 class Counter:
     """Counts of white-space-separated pieces under a tokenizers file, with a two-generation cache."""
 
@@ -30,6 +59,7 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.split = splits_at_space(self.tokenizer)
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
 
@@ -46,6 +76,9 @@ class Counter:
             at = to
 
     def counts(self, texts: list[bytes]) -> list[int]:
+        if not self.split:
+            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            return [len(x) for x in encode([x.decode() for x in texts], add_special_tokens=False)]
         split = [x.split() for x in texts]  # bytes.split: exactly the ASCII white space
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
@@ -57,12 +90,18 @@ class Counter:
         return [sum(map(get, x)) for x in split]
 
 
+@functools.cache
+def shared_counter(path: str) -> Counter:
+    """A worker's counter for a file, which keeps its cache from task to task."""
+    return Counter(path)
+
+
 def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens) of every row's whole text, under the tokenizers file at path (present on every machine)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def count(batches):
-        counter = Counter(path)
+        counter = shared_counter(path)
         for batch in batches:
             data, offsets = common.utf8(batch.column(1))
             tokens: list[int] = []

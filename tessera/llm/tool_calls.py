@@ -4,7 +4,8 @@ Messages are rows (conv_id, turn, role, text). A text that is a JSON object may
 of one, with tool_call_id. Calls and results meet by a hash join on (conversation, identifier), not by conversation, so that a conversation with a third of
 all rows is dealt like the others. Calls are placed in topological order: by turn, each after the calls it names in `after`; a call that stands before one
 it needs is moved behind it, and calls in a cycle keep their places and are marked. Arguments are checked against the tool's schema and written as
-canonical JSON (sorted keys, no spaces, shortest numbers).
+canonical JSON (sorted keys, no spaces, shortest numbers, lone surrogates escaped). Arguments that no JSON parser need take (NaN, infinite numbers, nesting
+beyond Python's recursion) are not JSON; a schema's type may be a list, and a type it doesn't know fits no value.
 
 The first call with an identifier owns it, later ones are `duplicate`; the first result counts; results of no call are left out of `linked_calls` and listed
 by `orphans`. Texts that aren't such JSON are plain messages. Null ids and names are values like others; null turns come first.
@@ -13,6 +14,8 @@ by `orphans`. Texts that aren't such JSON are plain messages. Null ids and names
 from __future__ import annotations
 
 import json
+import math
+import re
 from itertools import groupby
 
 import pyarrow as pa
@@ -27,6 +30,11 @@ MOVES, RANGE = 20, 256
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def _encodable(text: str) -> str:
+    """text with lone surrogates, which UTF-8 has no bytes for, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys and no spaces; whole floats as integers."""
 
@@ -37,14 +45,42 @@ def canonical(value) -> str:
             return [plain(v) for v in x]
         return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 2**53 else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _encodable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(text: str) -> float:
+    if math.isinf(x := float(text)):
+        raise ValueError(f"{text} is beyond a double")
+    return x
+
+
+def _refuse(text: str):
+    raise ValueError(f"{text} is not JSON")
+
+
+def parse(text: str | None):
+    """The JSON value of a text (null: null); raises ValueError for what isn't JSON and RecursionError for what nests too deep."""
+    value = json.loads(text if text is not None else "null", parse_float=_finite, parse_constant=_refuse)
+    canonical(value)
+    return value
+
+
+def _fits(value, kind: str) -> bool:
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _KINDS.get(kind, ())) and not (isinstance(value, bool) and kind in ("integer", "number"))
 
 
-def errors(value, schema: dict, path: str = "$") -> list[str]:
-    """Where value departs from a schema of type, properties, required, additionalProperties, items and enum."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _KINDS[kind]) or (isinstance(value, bool) and kind in ("integer", "number"))):
-        return [f"{path}: not of type {kind}"]
+def errors(value, schema: dict | bool, path: str = "$") -> list[str]:
+    """Where value departs from a schema of type, properties, required, additionalProperties, items and enum. A schema that is true or no object allows all, false nothing."""
+    if schema is False:
+        return [f"{path}: not allowed"]
+    if not isinstance(schema, dict):
+        return []
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds or []
+    if kinds and not any(_fits(value, k) for k in kinds):
+        return [f"{path}: not of type {' or '.join(map(str, kinds))}"]
     found = [f"{path}: not among the allowed values"] if "enum" in schema and value not in schema["enum"] else []
     if isinstance(value, dict):
         own = schema.get("properties", {})
@@ -185,13 +221,13 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             status, problems, texts = [], [], []
             for _, turn, call_id, name, position, result_turn, n, copies, missing, cycle, arguments, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    value, bad = json.loads(arguments if arguments is not None else "null"), []
+                    value = parse(arguments)
                     bad = errors(value, schemas[name]) if name in schemas else [f"no schema for {name}"]
-                except ValueError:
+                except (ValueError, RecursionError):
                     value, bad = arguments, ["arguments are not JSON"]
                 bad += ["duplicate identifier"] * bool(copies) + ["a call that it needs is missing"] * bool(missing) + ["cycle"] * bool(cycle)
                 status.append("invalid" if bad else "linked" if n else "pending")
-                problems.append(bad)
+                problems.append([_encodable(x) for x in bad])
                 texts.append(canonical({"id": call_id, "name": name, "arguments": value, "result": content}))
             own = [batch.column(i) for i in range(8)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(status), pa.array(problems, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*batch.schema.names[:8], "status", "problems", "json"])

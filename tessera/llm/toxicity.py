@@ -2,7 +2,7 @@
 
 A text is a bag of sentences. A sentence's probability is logistic in its distinct words, each by
 itself and by its stems (leading letters, which inflected forms share); a text's is the noisy-or of its sentences, and that is what
-training fits to document labels. Afterwards the sentences of high probability locate the offence.
+training fits to document labels. Afterwards the sentences of high probability locate the offence: `offending_sentences` lists them, and scores carry their numbers.
 
 Training reads at most MAX_TRAIN labelled texts (those of the least hash of their id, so the choice is random, fixed and bounded), whole, and skips those
 that don't fit what is left of MAX_TRAIN_CHARS characters for all together; the model is a table of at most MAX_FEATURES weights. Scoring reads every whole text. Null and empty texts, and texts without words, are one sentence without words.
@@ -18,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common
 
 #: Labelled texts that training reads and their characters together, features in the model, texts a feature needs, words in a sentence, letters of stems, words whose weight a worker keeps.
 MAX_TRAIN, MAX_TRAIN_CHARS, MAX_FEATURES, MIN_TEXTS, SENTENCE_WORDS, STEMS, CACHE = 4000, 32_000_000, 30_000, 5, 200, (4, 5), 200_000
+#: Weights up to this are none: training ends with dropping them, so the model that is returned is the one that scores.
+MIN_WEIGHT = 1e-3
 _END = re.compile(r"(?<=[.!?])\s+|[\n\r\u0085  ]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,15 +68,19 @@ class Model:
         get = self.words.__getitem__
         return np.array([sum(map(get, set(x))) for x in bags] or [0.0]) + self.bias
 
+    def judge(self, text: str, least: float = 0.5) -> tuple[float, list[tuple[int, float, str]]]:
+        """The noisy-or over the text's sentences, and (number, probability, words) of those that reach `least`."""
+        bags = sentences(text)
+        z = self.sentence_logits(bags)
+        score = float(-np.expm1(-np.logaddexp(0, z).sum()))
+        found = np.flatnonzero(z[: len(bags)] >= np.log(least / (1 - least)))
+        return score, [(int(i), float(1 / (1 + np.exp(-z[i]))), " ".join(bags[i])) for i in found]
+
     def score(self, text: str) -> float:
-        """The noisy-or over the text's sentences."""
-        return float(-np.expm1(-np.logaddexp(0, self.sentence_logits(sentences(text))).sum()))
+        return self.judge(text)[0]
 
     def offending(self, text: str, least: float = 0.5) -> list[tuple[int, float, str]]:
-        """(number, probability, words) of the sentences that reach `least`."""
-        bags = sentences(text)
-        p = 1 / (1 + np.exp(-self.sentence_logits(bags)))
-        return [(i, float(p[i]), " ".join(x)) for i, x in enumerate(bags) if p[i] >= least]
+        return self.judge(text, least)[1]
 
 
 def _descend(rows, columns, owner, y, w, rounds, lasso, ridge):
@@ -137,7 +144,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 80, lasso: float =
         own = of[columns] >= 0
         w = _descend(rows[own], of[columns[own]], owner, y, np.append(w[kept], w[-1]), rounds, 0.0, ridge)
         words = [words[i] for i in kept]
-    return Model(dict(zip(words, map(float, w[:-1]), strict=True)), float(w[-1]))
+    return Model({x: float(v) for x, v in zip(words, w[:-1], strict=True) if abs(v) > MIN_WEIGHT}, float(w[-1]))
 
 
 def held_out() -> Column:
@@ -165,11 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_column(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with a column score after its own; whole rows pass through, so any other columns stay as they are."""
-    spark = df.sparkSession
-    small = Model({k: v for k, v in model.weights.items() if abs(v) > 1e-3}, model.bias)
-    shared = spark.sparkContext.broadcast(small)
+    """df with the columns score and offending (numbers of the sentences that reach 0.5) after its own, in place of any of these names; whole rows pass through."""
+    df = df.drop("score", "offending")
+    shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
+    new = [pa.field("score", pa.float64()), pa.field("offending", pa.list_(pa.int32()))]
 
     def run(batches):
         own = shared.value
@@ -177,18 +184,37 @@ def score_column(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _, offsets = common.utf8(batch.column(at))
             for a, b in common.groups(offsets):
                 part = batch.slice(a, b - a)
-                scores = [own.score(x or "") for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], schema=part.schema.append(pa.field("score", pa.float64())))
+                found = [own.judge(x or "") for x in part.column(at).to_pylist()]
+                columns = [pa.array([s for s, _ in found], pa.float64()), pa.array([[i for i, _, _ in x] for _, x in found], pa.list_(pa.int32()))]
+                schema = part.schema
+                for field in new:
+                    schema = schema.append(field)
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], schema=schema)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(T.IntegerType()))]))
+
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """(doc_id, sentence, probability, words): a row for each sentence of each text that reaches `least`; words are lower-cased and joined by a space."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            _, offsets = common.utf8(batch.column(1))
+            for a, b in common.groups(offsets):
+                found = [own.offending(x or "", least) for x in batch.column(1).slice(a, b - a).to_pylist()]
+                owner = [a + i for i, x in enumerate(found) for _ in x]
+                number, chance, words = zip(*(y for x in found for y in x), strict=True) if owner else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(chance, pa.float64()), pa.array(words, pa.string())], names=["doc_id", "sentence", "probability", "words"])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sentence int, probability double, words string")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, whose score is under `least`."""
     model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(Model({k: v for k, v in model.weights.items() if abs(v) > 1e-3}, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -207,4 +233,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Data
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_column(docs, fit(docs, common.read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), "offending")
