@@ -95,7 +95,7 @@ def infer_type(text: Column | str) -> Column:
 
 def strip_tracking(url: Column | str) -> Column:
     """Without utm_* and the other tracking parameters."""
-    drop = r"(utm_[^=&#]*|fbclid|gclid|mc_cid|mc_eid|ref|igshid)(=[^&#]*)?"
+    drop = r"(?i:utm_[^=&#]*|fbclid|gclid|mc_cid|mc_eid|ref|igshid)(?:=[^&#]*)?"
     u = F.regexp_replace(_as(url), rf"([?&]){drop}(?=[&#]|$)", "$1")
     u = F.regexp_replace(u, rf"([?&]){drop}(?=[&#]|$)", "$1")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"&&+", "&"), r"\?&+", "?"), r"[?&]+(?=#|$)", "")
@@ -128,8 +128,10 @@ def redact_secrets(text: Column | str) -> Column:
 
 
 def human_size(n: Column | str) -> Column:
+    """Bytes as B, KB, MB or GB with one place, ties to even as the printed double rounds."""
     n = _as(n)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).when(n < 1 << 30, F.format_string("%.1f MB", n / float(1 << 20))).otherwise(F.format_string("%.1f GB", n / float(1 << 30)))
+    shown = lambda unit, mark: F.concat(F.format_string("%.1f", F.bround(n / float(unit), 1)), F.lit(mark))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(1 << 10, " KB")).when(n < 1 << 30, shown(1 << 20, " MB")).otherwise(shown(1 << 30, " GB"))
 
 
 def column_letter(n: Column | str) -> Column:
