@@ -4,42 +4,10 @@ from __future__ import annotations
 
 from tessera.plans.tables import sql_query
 
-sql_query("w01_priority_dedup", """
-SELECT doc_id, lang, source FROM (
-  SELECT doc_id, lang, source, row_number() OVER (PARTITION BY md5(text) ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, n_chars, doc_id) AS rn FROM @documents) t
-WHERE rn = 1""")
-
 sql_query("w02_seeded_stratified_sample", """
 SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('20261013', CAST(doc_id AS VARCHAR(20))))) AS rn FROM @documents) t
 WHERE rn <= 50""")
 
-sql_query("w03_partition_totals", """
-SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS in_source, sum(n_chars) OVER (PARTITION BY source) AS source_chars FROM @documents""",
-"""SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS in_source, CAST(sum(n_chars) OVER (PARTITION BY source) AS BIGINT) AS source_chars FROM @documents""")
-
-sql_query("w13_head_tail_sample", """
-SELECT o_orderkey, o_custkey, pos, omitted FROM (
-  SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS n,
-    greatest(count(*) OVER (PARTITION BY o_orderpriority) - 120, 0) AS omitted FROM @orders) t
-WHERE pos <= 100 OR pos > n - 20""")
-
-sql_query("w14_line_runs", """
-WITH lines AS (SELECT doc_id, no, line FROM @documents LATERAL VIEW posexplode(split(text, '\\n')) p AS no, line),
-marked AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY doc_id ORDER BY no) THEN 0 ELSE 1 END AS fresh FROM lines WHERE length(line) >= 12),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM marked),
-sizes AS (SELECT doc_id, run, min(line) AS line, count(*) AS n FROM runs GROUP BY doc_id, run),
-totals AS (SELECT doc_id, line, count(*) AS total FROM lines WHERE length(line) >= 12 GROUP BY doc_id, line)
-SELECT s.doc_id, max(s.n) AS longest_run, max(t.total) AS most_repeated, max(s.n) >= 8 OR max(t.total) >= 40 AS repeated
-FROM sizes s JOIN totals t ON s.doc_id = t.doc_id AND s.line = t.line GROUP BY s.doc_id""",
-"""
-WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM @documents),
-marked AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY doc_id ORDER BY no) THEN 0 ELSE 1 END AS fresh FROM lines WHERE length(line) >= 12),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM marked),
-sizes AS (SELECT doc_id, run, min(line) AS line, count(*) AS n FROM runs GROUP BY doc_id, run),
-totals AS (SELECT doc_id, line, count(*) AS total FROM lines WHERE length(line) >= 12 GROUP BY doc_id, line)
-SELECT s.doc_id, max(s.n) AS longest_run, max(t.total) AS most_repeated, max(s.n) >= 8 OR max(t.total) >= 40 AS repeated
-FROM sizes s JOIN totals t ON s.doc_id = t.doc_id AND s.line = t.line GROUP BY s.doc_id""")
-
 sql_query("w06_speaker_paragraphs", """
 WITH marked AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM @conversations),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS paragraph FROM marked)
@@ -49,10 +17,6 @@ sql_query("w07_speaker_numbers", """
 SELECT conv_id, role, first_turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first_turn) AS BIGINT) AS speaker
 FROM (SELECT conv_id, role, min(turn) AS first_turn FROM @conversations GROUP BY conv_id, role) t""")
 
-sql_query("w05_sections", """
-SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS section,
-  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS ord FROM @conversations""")
-
 sql_query("w11_budget_prefix", """
 WITH p AS (SELECT doc_id, no, greatest(1, CAST(bround(length(line) / 3.8) AS INT)) AS tokens FROM @documents LATERAL VIEW posexplode(split(text, '\\n')) x AS no, line WHERE length(line) > 0),
 r AS (SELECT doc_id, no, tokens, sum(tokens + 1) OVER (PARTITION BY doc_id ORDER BY no) AS upto FROM p)
@@ -86,12 +50,6 @@ sql_query("st13_idempotent_submission", """
 SELECT user_id, event_type, min_by(event_id, event_id) AS job, count(*) - 1 AS repeats FROM @events GROUP BY user_id, event_type""",
 """SELECT user_id, event_type, min(event_id) AS job, count(*) - 1 AS repeats FROM @events GROUP BY user_id, event_type""")
 
-sql_query("st12_monotone_counters", """
-SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS counter FROM @events""")
-
-_STATS = " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most FROM @lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-sql_query("a02_column_statistics", _STATS)
-
 sql_query("a03_merge_statistics", """
 WITH part AS (SELECT l_linenumber AS g, min(l_shipdate) AS lo, max(l_shipdate) AS hi, count(*) - count(l_shipdate) AS nulls, count(*) AS n FROM @lineitem GROUP BY l_linenumber)
 SELECT min(lo) AS least, max(hi) AS most, CAST(sum(nulls) AS BIGINT) AS nulls, CAST(sum(n) AS BIGINT) AS total FROM part""")
@@ -112,14 +70,6 @@ sql_query("a10_failure_clusters", """
 SELECT event_type, regexp_replace(props, '[0-9]+', '#') AS shape, count(*) AS n, min(event_id) AS sample FROM @events GROUP BY 1, 2""",
 """SELECT event_type, regexp_replace(props, '[0-9]+', '#', 'g') AS shape, count(*) AS n, min(event_id) AS sample FROM @events GROUP BY 1, 2""")
 
-sql_query("a11_crosstab", """
-SELECT source, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS en, CAST(sum(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS BIGINT) AS fr,
-  CAST(sum(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) AS BIGINT) AS de, CAST(sum(CASE WHEN lang = 'es' THEN 1 ELSE 0 END) AS BIGINT) AS es FROM @documents GROUP BY source""")
-
-sql_query("a13_percentiles", """
-SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean, round(percentile(l_extendedprice, 0.5), 4) AS p50, round(percentile(l_extendedprice, 0.95), 4) AS p95 FROM @lineitem GROUP BY l_returnflag""",
-"""SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM @lineitem GROUP BY l_returnflag""")
-
 sql_query("a15_paired_difference", """
 SELECT count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS a, round(avg(CAST(toxic AS DOUBLE)), 6) AS b, round(avg(CAST(quality - toxic AS DOUBLE)), 6) AS difference
 FROM @labels l JOIN @documents d ON l.doc_id = d.doc_id""")
@@ -151,42 +101,15 @@ sql_query("a28_language_mix", """
 SELECT lang, CAST(sum(octet_length(text)) AS BIGINT) AS bytes, count(*) AS docs FROM @documents GROUP BY lang""",
 """SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS docs FROM @documents GROUP BY lang""")
 
-sql_query("a33_flooding", """
-WITH s AS (SELECT doc_id, s FROM @documents LATERAL VIEW explode(split(regexp_replace(text, '([.!?])[ \\n]+', '$1\\n'), '\\n')) x AS s)
-SELECT doc_id, s AS sentence, count(*) AS n FROM s WHERE length(s) > 20 GROUP BY doc_id, s HAVING count(*) > 10""",
-"""
-WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \\n]+', '\\1' || chr(10), 'g'), chr(10))) AS s FROM @documents)
-SELECT doc_id, s AS sentence, count(*) AS n FROM s WHERE length(s) > 20 GROUP BY doc_id, s HAVING count(*) > 10""")
-
 sql_query("a34_content_hash", """SELECT doc_id, sha2(text, 256) AS sha256, md5(text) AS md5 FROM @documents""", """SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM @documents""")
 
 sql_query("a35_participants", """
 SELECT conv_id, count(DISTINCT role) AS speakers, count(*) AS turns, min(role) AS first_role FROM @conversations GROUP BY conv_id""")
 
-sql_query("a36_speed_summary", """
-SELECT event_type, round(percentile(value, 0.5), 4) AS median, round(percentile(value, 0.95), 4) AS p95, round(max(value), 4) AS most FROM @events GROUP BY event_type""",
-"""SELECT event_type, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(max(value), 4) AS most FROM @events GROUP BY event_type""")
-
 sql_query("a01_element_counts", """
 SELECT page_id, CAST(regexp_count(html, '<p[ >]') AS BIGINT) AS paragraphs, CAST(regexp_count(html, '<a[ >]') AS BIGINT) AS links, CAST(regexp_count(html, '<h[1-6][ >]') AS BIGINT) AS headings, CAST(regexp_count(html, '<li[ >]') AS BIGINT) AS items FROM @pages""",
 """SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '<h[1-6][ >]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items FROM @pages""")
 
-sql_query("a06_infer_column_types", """
-SELECT name, CASE WHEN max(t) = min(t) THEN max(t) WHEN min(t) = 'float' AND max(t) = 'int' THEN 'float' ELSE 'text' END AS type, count(t) AS votes FROM (
-  SELECT name, CASE WHEN v IS NULL OR trim(v) = '' THEN NULL WHEN v RLIKE '^[+-]?[0-9]+$' THEN 'int' WHEN v RLIKE '^[+-]?[0-9]*[.][0-9]+$' THEN 'float' WHEN v RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}' THEN 'date' ELSE 'text' END AS t
-  FROM (SELECT stack(4, 'o_orderkey', CAST(o_orderkey AS STRING), 'o_orderstatus', o_orderstatus, 'o_totalprice', CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING), 'o_orderdate', CAST(o_orderdate AS STRING)) AS (name, v) FROM @orders) s) u GROUP BY name""",
-"""
-WITH s AS (SELECT 'o_orderkey' AS name, CAST(o_orderkey AS VARCHAR) AS v FROM @orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM @orders UNION ALL SELECT 'o_totalprice', CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) FROM @orders UNION ALL SELECT 'o_orderdate', CAST(o_orderdate AS VARCHAR) FROM @orders)
-SELECT name, CASE WHEN max(t) = min(t) THEN max(t) WHEN min(t) = 'float' AND max(t) = 'int' THEN 'float' ELSE 'text' END AS type, count(t) AS votes FROM (
-  SELECT name, CASE WHEN v IS NULL OR trim(v) = '' THEN NULL WHEN regexp_matches(v, '^[+-]?[0-9]+$') THEN 'int' WHEN regexp_matches(v, '^[+-]?[0-9]*[.][0-9]+$') THEN 'float' WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' ELSE 'text' END AS t FROM s) u GROUP BY name""")
-
-sql_query("a04_json_path_schema", """
-WITH kv AS (SELECT k, get_json_object(props, concat('$.', k)) AS v FROM @events LATERAL VIEW explode(json_object_keys(props)) x AS k)
-SELECT concat('/', k) AS pointer, count(*) AS n, min(CAST(v AS BIGINT)) AS least, max(CAST(v AS BIGINT)) AS most FROM kv GROUP BY k""",
-"""
-WITH kv AS (SELECT k, json_extract_string(props, '$.' || k) AS v FROM (SELECT props, unnest(json_keys(props)) AS k FROM @events) t)
-SELECT '/' || k AS pointer, count(*) AS n, min(CAST(v AS BIGINT)) AS least, max(CAST(v AS BIGINT)) AS most FROM kv GROUP BY k""")
-
 sql_query("j01_captures_with_totals", """
 SELECT d.doc_id, d.lang, t.n FROM @documents d JOIN (SELECT lang, count(*) AS n FROM @documents GROUP BY lang) t ON d.lang = t.lang""")
 
@@ -204,31 +127,10 @@ SELECT n.doc_id, n.sha FROM now n WHERE NOT EXISTS (SELECT 1 FROM previous p WHE
 sql_query("j07_heldout_split", """
 SELECT doc_id FROM @documents EXCEPT SELECT doc_id FROM @labels""")
 
-sql_query("j14_multiset_recall", """
-WITH d AS (SELECT doc_id, w, count(*) AS n FROM @documents LATERAL VIEW explode(regexp_extract_all(lower(text), '[a-z0-9]{3,}', 0)) x AS w GROUP BY doc_id, w),
-f AS (SELECT doc_id, w, count(*) AS n FROM @documents LATERAL VIEW explode(regexp_extract_all(lower(split(text, '\\n')[0]), '[a-z0-9]{3,}', 0)) x AS w GROUP BY doc_id, w)
-SELECT d.doc_id, CAST(sum(d.n) AS BIGINT) AS words, CAST(sum(least(d.n, coalesce(f.n, 0))) AS BIGINT) AS shared, round(CAST(sum(least(d.n, coalesce(f.n, 0))) AS DOUBLE) / sum(d.n), 6) AS recall
-FROM d LEFT JOIN f ON d.doc_id = f.doc_id AND d.w = f.w GROUP BY d.doc_id""",
-"""
-WITH d AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM @documents) t GROUP BY doc_id, w),
-f AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]{3,}')) AS w FROM @documents) t GROUP BY doc_id, w)
-SELECT d.doc_id, CAST(sum(d.n) AS BIGINT) AS words, CAST(sum(least(d.n, coalesce(f.n, 0))) AS BIGINT) AS shared, round(CAST(sum(least(d.n, coalesce(f.n, 0))) AS DOUBLE) / sum(d.n), 6) AS recall
-FROM d LEFT JOIN f ON d.doc_id = f.doc_id AND d.w = f.w GROUP BY d.doc_id""")
-
 sql_query("j28_set_jaccard", """
 WITH a AS (SELECT DISTINCT o_custkey AS k FROM @orders WHERE o_orderpriority LIKE '1%'), b AS (SELECT DISTINCT o_custkey AS k FROM @orders WHERE o_orderpriority LIKE '5%')
 SELECT round(CAST(count(*) AS DOUBLE) / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - count(*)), 6) AS jaccard, count(*) AS shared FROM a JOIN b ON a.k = b.k""")
 
-sql_query("j25_foreign_key_map", """
-SELECT n.n_name, r.r_name, count(c.c_custkey) AS customers FROM @nation n JOIN @region r ON n.n_regionkey = r.r_regionkey LEFT JOIN @customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, r.r_name""")
-
-sql_query("j03_threads", """
-WITH RECURSIVE t(conv_id, turn, depth, root) AS (
-  SELECT conv_id, turn, 0, turn FROM @conversations WHERE turn = 0
-  UNION ALL SELECT c.conv_id, c.turn, t.depth + 1, t.root FROM t JOIN @conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
-SELECT conv_id, turn, CAST(depth AS BIGINT) AS depth, root FROM t""")
-
-sql_query("so05_set_difference", """SELECT source FROM @documents EXCEPT SELECT source FROM @documents WHERE lang = 'de'""")
 sql_query("so04_multiset_difference", """SELECT lang FROM @documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT lang FROM @documents WHERE doc_id % 2 = 1""")
 sql_query("so01_union_warnings", """SELECT doc_id, 'toxic' AS code FROM @labels WHERE toxic = 1 UNION SELECT doc_id, 'low_quality' FROM @labels WHERE quality = 0""")
 sql_query("so07_last_wins", """
@@ -237,12 +139,8 @@ sql_query("sl02_rarest_first", """SELECT source, count(*) AS n, CAST(row_number(
 sql_query("sl03_top_clusters", """SELECT source, n FROM (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS rn FROM (SELECT source, count(*) AS n FROM @documents GROUP BY source) c) t WHERE rn <= 5""")
 sql_query("sl06_latest_match", """SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM @orders GROUP BY o_custkey""", """SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS latest FROM @orders GROUP BY o_custkey""")
 
-sql_query("qs06_smells", """
-SELECT doc_id, length(text) < 20 AS empty, length(text) - length(replace(text, '\\uFFFD', '')) >= greatest(3, CAST(floor(length(text) / 1000) AS INT)) AS replacement FROM @documents""",
-"""SELECT doc_id, length(text) < 20 AS empty, length(text) - length(replace(text, chr(65533), '')) >= greatest(3, CAST(floor(length(text) / 1000) AS INT)) AS replacement FROM @documents""")
-
 sql_query("pf01_capture_filter", """
 SELECT page_id, url FROM @pages WHERE url IS NOT NULL AND html IS NOT NULL AND regexp_extract(url, '^https?://[^/:]*[.]([a-z]+)', 1) IN ('com', 'org')""")
 sql_query("fa11_url_parts", """
 SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM @pages""")
-sql_query("pf18_recall_gate", """SELECT doc_id, quality < 1 AND toxic = 1 AS lost FROM @labels""")
+
