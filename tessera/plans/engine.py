@@ -427,7 +427,7 @@ def w17(df):
     return O.islands(rows, "one", ["r"], gap.isNull() | (gap > 2), "band").groupBy("band").agg(F.min("r").alias("first"), F.max("r").alias("last")).drop("band")
 
 
-@inline("w20_line_spacing", "page int, y double, x1 double", [(1, float(v), 90.0 + v % 3) for v in (0, 12, 24, 37, 49, 61)], "SELECT 1 AS page, 12.0 AS spacing, 92.0 AS right_edge")
+@inline("w20_line_spacing", "page int, y double, x1 double", [(1, float(v), 90.0 + v % 3) for v in (0, 12, 24, 37, 49, 61)], "SELECT 1 AS page, 12.0 AS spacing, 91.0 AS right_edge")
 def w20(df):
     """The upper median of gaps (0 under four) and the nearest-rank 90th percentile of right edges."""
     gaps = df.withColumn("g", F.col("y") - F.lag("y").over(Window.partitionBy("page").orderBy("y")))

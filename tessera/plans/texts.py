@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.functions import text as T
-from tessera.operators import chunking, risk
+from tessera.operators import chunking
 from tessera.plans.tables import table
 
 _TOKENS = "greatest(1, CAST(round_even(length(x) / 3.8, 0) AS BIGINT))"
@@ -60,28 +60,11 @@ def html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).alias("chars"), F.md5(text).alias("sha"))
 
 
-@register("fa08_html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@register("a32_link_density")
-def density(spark, sf_dir):
-    page = table(spark, sf_dir, "pages")
-    links = F.length(F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<a\b[^>]*>([^<]*)</a>"), F.lit(1)), ""))
-    return page.select("page_id", F.round(links / F.greatest(F.length(T.html_text("html")), F.lit(1)), 6).alias("density"))
-
-
 @register("fs21_redact_secrets", "SELECT doc_id, len(regexp_extract_all(text, '\\b[0-9a-f]{40}\\b')) > 0 AS redacted FROM documents")
 def redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.redact_secrets("text").contains("[REDACTED:").alias("redacted"))
 
 
-@register("rn14_risk_scan")
-def scan(spark, sf_dir):
-    return risk.scan(table(spark, sf_dir, "documents"))
-
-
 @register("fs23_human_size", """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KB', n / 1024.0) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents) t""")
 def size(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.human_size(F.octet_length("text").cast("bigint")).alias("size"))
