@@ -1,34 +1,19 @@
-"""Time-driven operators as Structured Streaming: the rate limiter whose rejected hits don't occupy the window, and windowed counts under a watermark."""
+"""Structured Streaming over events: the rate limiter, windowed counts under a watermark, and runs over what a source holds."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESULT = "user_id long, event_id long, allowed boolean, remaining long"
+from tessera.streaming import folds
 
 
 def rate_limited(events: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """events: (user_id, event_id, ts), a stream. Each hit is allowed while fewer than `limit` allowed hits lie within the last window_s seconds."""
-
-    def decide(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            now = ts.value // 1000
-            hits = [t for t in hits if t > now - window_s * 1_000_000]
-            allowed = len(hits) < limit
-            if allowed:
-                hits.append(now)
-            out.append((key[0], event_id, allowed, max(0, limit - len(hits))))
-        state.update((hits,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "remaining"])
-
-    return events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").applyInPandasWithState(decide, RESULT, "hits array<long>", "append", "NoTimeout")
+    """events: (user_id, event_id, ts), a stream. (user_id, event_id, allowed, remaining): a hit is allowed while fewer than `limit` allowed ones lie in the last window_s seconds."""
+    rows = events.select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("hit").alias("kind"), F.col("event_id").cast("string").alias("member"))
+    fold, result = folds.limiter([(limit, window_s)])
+    found = folds.stream(rows, fold, result, window_s)
+    return found.select(F.col("key").cast("bigint").alias("user_id"), "event_id", "allowed", "remaining")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
