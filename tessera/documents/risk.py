@@ -21,6 +21,13 @@ FAMILIES = (
     ("delimiter_spoof", "high", r"<\|(?:im_start|im_end|system|user|assistant|endoftext)\|>|\[/?inst\]|<</?sys>>|^\s*#{2,}\s*(?:system|instruction)s?\s*:"),
     ("shell_mention", "low", r"\b(?:curl|wget)\s+https?://|\brm\s+-rf\b|\bpowershell\s+-"),
 )
+#: What a text must hold for a family's pattern to be tried at all: any of these.
+NEEDS = {
+    "override": ("instruction", "prompt", "rules", "directive", "guideline", "guardrail", "anweisung", "regeln", "vorgaben", "instruccion", "reglas"), "role_change": ("you are", "act as", "pretend"),
+    "prompt_leak": ("prompt", "instructions"), "exfiltration": ("http", "@"), "tool_abuse": ("tool", "function", "command", "shell", "terminal", "plugin"), "agent_directive": ("must", "should", "shall", "required to", "have to"),
+    "secrecy": ("do not", "don't", "never"), "reward": ("you will", "tip you", "pay you"), "delimiter_spoof": ("<|", "inst]", "sys>>", "##"), "shell_mention": ("http", "rm -rf", "powershell"),
+}
+_COMPILED = [(name, severity, re.compile(pattern, re.M)) for name, severity, pattern in FAMILIES]
 #: Weights of severities, and where a finding counts for less or more.
 WEIGHTS = {"low": 1.0, "medium": 3.0, "high": 6.0}
 PLACES = {"body": 1.0, "code": 0.5, "metadata": 1.0, "decoded": 1.0, "hidden": 2.0}
@@ -34,7 +41,7 @@ def _heuristics(text: str) -> list[tuple[str, str]]:
         opening = " ".join(strings.sentences(part)[:2]).lower()
         if len(set(_COMMANDS.findall(opening))) >= 3:
             found.append(("imperative_cluster", "low"))
-    found += [("long_html_comment", "low") for c in re.findall(r"<!--(.*?)-->", text, re.S) if len(c.split()) > 30]
+    found += [("long_html_comment", "low") for c in (re.findall(r"<!--(.*?)-->", text, re.S) if "<!--" in text else ()) if len(c.split()) > 30]
     counts: dict[str, int] = {}
     for s in strings.sentences(text):
         if len(s) > 20:
@@ -45,12 +52,13 @@ def _heuristics(text: str) -> list[tuple[str, str]]:
 def findings(text: str, place: str = "body") -> list[tuple[str, str, str]]:
     """(family, severity, place): code fences apart from the rest, decoded blobs scanned again, hidden text one severity up."""
     if place == "body":
-        code = "\n".join(re.findall(r"(?ms)^```.*?^```", text))
-        rest = re.sub(r"(?ms)^```.*?^```", "\n", text)
+        fenced = "```" in text
+        code = "\n".join(re.findall(r"(?ms)^```.*?^```", text)) if fenced else ""
+        rest = re.sub(r"(?ms)^```.*?^```", "\n", text) if fenced else text
         out = findings(rest, "plain") + (findings(code, "code") if code else [])
         return out + [f for blob in strings.decoded(text) for f in findings(blob, "decoded")]
     folded = "\n".join(strings.folded(x) for x in re.split(r"\n\s*\n", text))
-    found = [(name, severity) for name, severity, pattern in FAMILIES for _ in re.finditer(pattern, folded, re.M)]
+    found = [(name, severity) for name, severity, pattern in _COMPILED if any(x in folded for x in NEEDS[name]) for _ in pattern.finditer(folded)]
     if place in ("plain", "hidden"):
         found += _heuristics(text)
     up = {"low": "medium", "medium": "high", "high": "high"}

@@ -138,11 +138,16 @@ LOOK = "аеорсухіјѕԁԛԝһαορνικεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 LATIN = "aeopcyxijsdqwhaopvikeABEZHIKMNOPTYX"
 
 
+_LOOKALIKE = str.maketrans(LOOK, LATIN)
+_APART = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w(?!\w)){4,}")
+
+
 def folded(text: str) -> str:
     """For scans: NFKC, nothing invisible, look-alikes as Latin, letters that stand apart joined, white space collapsed, case folded."""
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).translate(str.maketrans(LOOK, LATIN))
-    text = re.sub(r"\b(?:\w[ .\-_*]){4,}\w\b", lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
-    return re.sub(r"\s+", " ", text).strip().casefold()
+    if not text.isascii():
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).translate(_LOOKALIKE)
+    text = _APART.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
+    return " ".join(text.split()).casefold()
 
 
 def defang(text: str, tag: str = "untrusted") -> str:
@@ -226,8 +231,8 @@ def decoded(text: str) -> list[str]:
             out.append(bytes.fromhex(blob).decode())
         except UnicodeDecodeError:
             pass
-    turned = codecs.decode(text, "rot13")
-    if re.search(r"(?i)\b(ignore|disregard|forget)\b.{0,40}\binstructions?\b", turned):
+    turned = codecs.decode(text, "rot13") if "vafgehpgvba" in text.lower() else ""  # rot13 of instruction
+    if turned and re.search(r"(?i)\b(ignore|disregard|forget)\b.{0,40}\binstructions?\b", turned):
         out.append(turned)
     return [x for x in dict.fromkeys(out) if x.isprintable() or "\n" in x]
 
