@@ -287,7 +287,7 @@ def j19(df):
     return df.select("id", F.array_sort(F.transform(starts, lambda s, i: F.struct(F.abs(F.col("x") - s).alias("d"), i.alias("i"))))[0]["i"].alias("col"))
 
 
-@inline("j20_merged_intervals", "page int, x0 double, x1 double", [(1, 0.0, 10.0), (1, 5.0, 20.0), (1, 30.0, 40.0), (2, 0.0, 1.0), (1, 20.0, 22.0)], "SELECT * FROM (VALUES (1, 0.0, 22.0, CAST(3 AS BIGINT)), (1, 30.0, 40.0, CAST(1 AS BIGINT)), (2, 0.0, 1.0, CAST(1 AS BIGINT))) v(page, low, high, members)")
+@inline("j20_merged_intervals", "page int, x0 double, x1 double", [(1, 0.0, 10.0), (1, 5.0, 20.0), (1, 30.0, 40.0), (2, 0.0, 1.0), (1, 20.0, 22.0)], "SELECT * FROM (VALUES (1, 0e0, 22e0, CAST(3 AS BIGINT)), (1, 30e0, 40e0, CAST(1 AS BIGINT)), (2, 0e0, 1e0, CAST(1 AS BIGINT))) v(page, low, high, members)")
 def j20(df):
     return O.merged_intervals(df, "page", "x0", "x1")
 
@@ -427,7 +427,7 @@ def w17(df):
     return O.islands(rows, "one", ["r"], gap.isNull() | (gap > 2), "band").groupBy("band").agg(F.min("r").alias("first"), F.max("r").alias("last")).drop("band")
 
 
-@inline("w20_line_spacing", "page int, y double, x1 double", [(1, float(v), 90.0 + v % 3) for v in (0, 12, 24, 37, 49, 61)], "SELECT 1 AS page, 12.0 AS spacing, 91.0 AS right_edge")
+@inline("w20_line_spacing", "page int, y double, x1 double", [(1, float(v), 90.0 + v % 3) for v in (0, 12, 24, 37, 49, 61)], "SELECT 1 AS page, 12e0 AS spacing, 91e0 AS right_edge")
 def w20(df):
     """The upper median of gaps (0 under four) and the nearest-rank 90th percentile of right edges."""
     gaps = df.withColumn("g", F.col("y") - F.lag("y").over(Window.partitionBy("page").orderBy("y")))
