@@ -288,8 +288,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every row: the numbers, from 0, of the lines that go."""
     rows = _with_uid(docs.select("doc_id", "text"))
     gone = _per_document(rows)
-    n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    n = F.when(F.length("text") > 0, n).otherwise(F.lit(0)).cast("bigint")
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    n = F.when(F.octet_length("text") > 0, n).otherwise(F.lit(0)).cast("bigint")
     counts = rows.select("uid", "doc_id", n.alias("n_lines"))
     removed = F.coalesce("__removed", F.array().cast("array<int>"))
     return counts.join(gone, F.col("uid") == F.col("__u"), "left").select("doc_id", "n_lines", F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"))
