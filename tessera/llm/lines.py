@@ -260,8 +260,8 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     least = Window.partitionBy("band")
     keyed = keyed.withColumns({"rep": F.min("id").over(least), "most": F.max("id").over(least)}).where("rep <> most")
     keyed = common.materialize(keyed.select("band", "id", "rep").distinct())
-    first = lines.groupBy("id").agg(F.min(F.struct("uid", "no")).alias("f"))
-    places = keyed.select("id").distinct().join(first, "id").select("id", "f.uid", "f.no")
+    wanted = lines.join(keyed.select("id").distinct(), "id", "left_semi")
+    places = wanted.groupBy("id").agg(F.min(F.struct("uid", "no")).alias("f")).select("id", "f.uid", "f.no")
     texts = common.materialize(_texts(rows, places))
     good = common.materialize(_verify(keyed.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), texts))
     linked = common.components(good)
