@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The space separators of Unicode (category Zs), which DuckDB's trim takes off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯]"
 
 
@@ -110,6 +112,13 @@ def html_text(html: Column | str) -> Column:
     return collapse_whitespace(t)
 
 
+def written_title(html: Column | str) -> Column:
+    """The title as a page's markup has it, references and all: the first h1 of text alone, or <title> where there is no h1, without spaces around."""
+    html = _as(html)
+    h1 = F.regexp_extract(html, r"<h1[^>]*+>([^<]*+)</h1>", 1)
+    return F.btrim(F.when(html.contains("<h1"), h1).otherwise(F.regexp_extract(html, r"<title>([^<]*+)</title>", 1)), F.lit(SPACES))
+
+
 #: Redaction rules, in the order in which they apply.
 SECRET_RULES = (
     ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
